@@ -35,27 +35,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BASE = """
 WITH s AS (SELECT id, min(loaded_at) l, min(deleted_at) d FROM sessions WHERE id IS NOT NULL GROUP BY id),
 k AS (SELECT name id, min(loaded_at) l, min(deleted_at) d FROM kb_metadata WHERE name IS NOT NULL GROUP BY name),
-c AS (SELECT id, min(loaded_at) l, min(deleted_at) d, arg_min(created_at, loaded_at) at,
+c AS (SELECT id, min(loaded_at) l, min(deleted_at) d, arg_min(created_at, loaded_at) tm,
  arg_min(session_id, loaded_at) session_id, arg_min(kb_name, loaded_at) kb_name
  FROM conversations WHERE id IS NOT NULL GROUP BY id),
-m AS (SELECT id, min(loaded_at) l, arg_min("timestamp", loaded_at) at, arg_min(conversation_id, loaded_at) conversation_id
+m AS (SELECT id, min(loaded_at) l, arg_min("timestamp", loaded_at) tm, arg_min(conversation_id, loaded_at) conversation_id
  FROM messages WHERE id IS NOT NULL GROUP BY id),
 e AS (
- SELECT 'conversations' child_table, 'session_id' fk_field, c.id row_id, c.at, s.id pid,
-  CASE WHEN s.id IS NULL THEN 'missing' WHEN s.d <= c.at THEN 'deleted' WHEN s.l > c.l THEN 'late' END state
+ SELECT 'conversations' child_table, 'session_id' fk_field, c.id row_id, c.tm, s.id pid,
+  CASE WHEN s.id IS NULL THEN 'missing' WHEN s.d <= c.tm THEN 'deleted' WHEN s.l > c.l THEN 'late' END state
  FROM c LEFT JOIN s ON c.session_id = s.id WHERE c.session_id IS NOT NULL
  UNION ALL
- SELECT 'conversations', 'kb_name', c.id, c.at, k.id,
-  CASE WHEN k.id IS NULL THEN 'missing' WHEN k.d <= c.at THEN 'deleted' WHEN k.l > c.l THEN 'late' END
+ SELECT 'conversations', 'kb_name', c.id, c.tm, k.id,
+  CASE WHEN k.id IS NULL THEN 'missing' WHEN k.d <= c.tm THEN 'deleted' WHEN k.l > c.l THEN 'late' END
  FROM c LEFT JOIN k ON c.kb_name = k.id WHERE c.kb_name IS NOT NULL
  UNION ALL
- SELECT 'messages', 'conversation_id', m.id, m.at, c.id,
-  CASE WHEN c.id IS NULL THEN 'missing' WHEN c.d <= m.at THEN 'deleted' WHEN c.l > m.l THEN 'late' END
+ SELECT 'messages', 'conversation_id', m.id, m.tm, c.id,
+  CASE WHEN c.id IS NULL THEN 'missing' WHEN c.d <= m.tm THEN 'deleted' WHEN c.l > m.l THEN 'late' END
  FROM m LEFT JOIN c ON m.conversation_id = c.id WHERE m.conversation_id IS NOT NULL),
 a AS (
- SELECT child_table, fk_field, row_id, at, state, 'direct' kind, 0 depth FROM e WHERE state IS NOT NULL
+ SELECT child_table, fk_field, row_id, tm, state, 'direct' kind, 0 depth FROM e WHERE state IS NOT NULL
  UNION ALL
- SELECT child_table, fk_field, row_id, at, 'inherited', 'inherited', 1 FROM e WHERE state IS NULL
+ SELECT child_table, fk_field, row_id, tm, 'inherited', 'inherited', 1 FROM e WHERE state IS NULL
  AND child_table = 'messages'
  AND pid IN (SELECT row_id FROM e WHERE child_table = 'conversations' AND state IS NOT NULL))
 """
@@ -64,6 +64,6 @@ SQL = {
     "p4_found": _BASE + "SELECT child_table, fk_field, row_id, state FROM e WHERE state IS NOT NULL",
     "p4_cascade": _BASE + "SELECT child_table, fk_field, row_id, kind, depth FROM a",
     "p4_report": _BASE
-    + """SELECT child_table, fk_field, strftime(at, '%Y-%m') AS "month", kind, state, count(*) AS n
+    + """SELECT child_table, fk_field, strftime(tm, '%Y-%m') AS "month", kind, state, count(*) AS n
 FROM a GROUP BY ALL""",
 }
