@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from paperlake.llm import conversations_queries, tokens_queries
+from paperlake.llm import conversations_queries, spans_queries, tokens_queries
 
-_MODULES = (conversations_queries, tokens_queries)
+_MODULES = (conversations_queries, tokens_queries, spans_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
