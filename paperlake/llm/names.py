@@ -19,6 +19,7 @@ TEX_LETTER = re.compile(r"\{?\\(ss|ae|AE|aa|AA|l|L|o|O|i|j)(?:\{\}|\}|\b ?)\}?")
 # Words that belong to the family name but are often left out.
 PARTICLES = {"von", "van", "der", "den", "de", "del", "della", "di", "da", "do", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "zu", "zur", "zum", "af", "av"}
 GLUED = re.compile(f"^(?:{'|'.join(sorted(PARTICLES))})-")
+WHOLE = re.compile(f"^(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))})+$")
 CAMEL = re.compile(r"\b((?:von|van|der|den|de|la|di|da|do|del)+)(?=[A-Z])")
 # Titles, suffixes and remarks that are no part of a name.
 NOISE = {"dr", "prof", "professor", "mr", "mrs", "ms", "sir", "phd", "md", "msc", "bsc", "jr", "sr", "ii", "iii", "iv", "esq", "eds", "ed", "editor"}
@@ -113,7 +114,7 @@ def _family(text: str) -> str:
     parts = [re.sub(r"[^a-z\-]", "", w) for w in _words(text)]
     parts = [w for w in parts if w.strip("-")]
     parts = [w for w in parts if w not in NOISE or len(parts) == 1]
-    while len(parts) > 1 and parts[0] in PARTICLES:
+    while len(parts) > 1 and WHOLE.match(parts[0]):
         parts = parts[1:]
     joined = "".join(GLUED.sub("", w) if len(w) > 5 else w for w in parts).replace("-", "")
     return re.sub("([aou])e", r"\1", joined)  # umlauts written out
