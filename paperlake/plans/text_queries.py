@@ -227,10 +227,15 @@ def intent_keywords(s, d):
     return _asked(s, d).select("id", "loaded_at", questions.intent(F.col("content"))["intent"].alias("intent"))
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
+_BARE = _strip("content")
 _CLEAN = "CASE " + " ".join(
-    "WHEN starts_with(lower(trim(content)), '{0}') THEN trim(substr(trim(content), {1}))".format(p.replace("'", "''"), len(p) + 1)
+    f"WHEN starts_with(lower({_strip('content')}), '{p.replace(chr(39), chr(39) * 2)}') THEN {_strip(f'substr({_BARE}, {len(p) + 1})')}"
     for p in questions.OPENINGS
-) + " ELSE trim(content) END"
+) + f" ELSE {_strip('content')} END"
 
 
 @query("query_cleanup", f"SELECT id, loaded_at, {_CLEAN} AS cleaned FROM {_ASKED}")
