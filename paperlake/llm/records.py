@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.llm import names as N
+from paperlake.operators.skew import hot_keys
+from paperlake.session import cut
 
 # Words that carry no title.
 STOP = frozenset("a an the of and in on for to at by from with under along during after over between its their is are does how as via using".split())
@@ -136,24 +138,45 @@ def same_forms(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(members.where("no = rep").select("no"), "no", "left_semi"), members
 
 
+def rare_words(words: DataFrame) -> DataFrame:
+    """no, side, rare: the four rarest words of each title (no, side, w) that stand in two titles or more.
+
+    Words with more than a thousandth of all occurrences, at most a thousand,
+    are never rare; they are left out before the join on words, which is thus
+    free of hot keys.
+    """
+    hot = hot_keys(words, F.col("w"), share=0.001, least=1000)
+    some = words.where(~F.col("w").isin(hot)) if hot else words
+    df = some.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = some.join(df, "w").groupBy("no", "side").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
+    return ranked.select("no", "side", F.transform(F.slice("r", 1, 4), lambda x: x["w"]).alias("rare"))
+
+
 def keyed(reps: DataFrame) -> DataFrame:
-    """The candidate keys of each form: DOI, and parts of the title.
+    """The candidate keys of each form (of all sides together): DOI, and parts of the title.
 
-    A title of four content words or more has three keys (first four, last
-    three, three in the middle), so that a cut or a typing error leaves one;
-    a title of fewer says little and is keyed with each author's name and the year.
+    A title of four content words or more is keyed by its first four, by each
+    three of its four rarest (so one typing error there leaves a key), and by
+    its first three in any order with each author; a title of fewer says
+    little and is keyed with each author only.
     """
     words = F.filter(F.split("title", " "), lambda w: ~w.isin(*sorted(STOP)) & (w != ""))
-    w = reps.withColumn("w", words).withColumn("n", F.size("w"))
-    long = F.col("n") >= 4
+    w = reps.select("no", "side", "title", "tag", "people", "doi", words.alias("w")).withColumn("n", F.size("w"))
+    w = cut(w)
+    rare = rare_words(w.where("n >= 4").select("no", "side", F.explode(F.array_distinct("w")).alias("w")))
+    w = w.join(rare, ["no", "side"], "left")
     key = lambda name, x: F.concat(F.lit(name), F.col("tag"), F.lit("|"), F.array_join(x, " "))
+    r = F.array_sort("rare")
+    without = lambda i: F.concat(F.slice(r, 1, i - 1), F.slice(r, i + 1, 4)) if i > 1 else F.slice(r, 2, 4)
+    rest = F.when(F.size("rare") == 4, F.array(*[key("r", without(i)) for i in (1, 2, 3, 4)])).when(
+        F.size("rare") == 3, F.array(key("r", r))
+    )
     title = F.when(
-        long,
-        F.array(
-            key("a", F.slice("w", 1, 4)),
-            F.when(~F.col("cut"), key("z", F.slice("w", -3, 3))),
-            F.when(F.col("n") >= 6, key("m", F.slice("w", 3, 3))),
-            key("s", F.array_sort(F.slice("w", 1, 3))),
+        F.col("n") >= 4,
+        F.concat(
+            F.array(key("a", F.slice("w", 1, 4))),
+            F.coalesce(rest, F.array().cast("array<string>")),
+            F.transform("people", lambda p: F.concat_ws("|", key("s", F.array_sort(F.slice("w", 1, 3))), p)),
         ),
     ).otherwise(F.transform("people", lambda p: F.concat_ws("|", F.lit("p"), "tag", "title", p)))
     doi = F.when(F.col("doi").isNotNull(), F.array(F.concat(F.lit("d"), "doi"))).otherwise(F.array())
@@ -187,6 +210,8 @@ def title_match(a: str, b: str, cut_a: bool, cut_b: bool) -> str:
     while j < min(len(x), len(y)) - i and x[-1 - j] == y[-1 - j]:
         j += 1
     rx, ry = x[i : len(x) - j], y[i : len(y) - j]
+    if not (cut_a or cut_b) and min(len(rx), len(ry)) > 8:
+        return "other"
     minor, major = _align(rx, ry)
     if major == 0 and minor <= 3:
         return "near"
@@ -262,6 +287,12 @@ def compared(cands: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     cols = ["title", "cut", "tag", "people", "year", "doi", "gist"]
     pick = lambda df, k: df.select(F.col("no").alias(k), F.struct(*cols).alias(f"f{k}"))
     joined = cands.join(pick(left, "a"), "a").join(pick(right, "b"), "b").select("a", "b", "fa", "fb")
+    # what the rules could not call one paper anyway is left out before Python: another series tag, or titles
+    # with less than two fifths of the shorter one's words in common that have no DOI in common either
+    wa, wb = F.split("fa.title", " "), F.split("fb.title", " ")
+    common = F.size(F.array_intersect(wa, wb)) * 5 >= F.least(F.size(wa), F.size(wb)) * 2
+    glued = F.levenshtein(F.replace("fa.title", F.lit(" "), F.lit("")), F.replace("fb.title", F.lit(" "), F.lit("")), 4) >= 0
+    joined = joined.where((F.col("fa.tag") == F.col("fb.tag")) & (common | glued | (F.col("fa.doi") == F.col("fb.doi"))))
 
     def run(batches):
         for batch in batches:
