@@ -64,9 +64,12 @@ ORG_SHORT = {short: word for word, short in ORG_WORDS.items()} | {
 SMALL = {"the", "of", "and", "for", "on", "in", "at", "a", "an", "to", "behalf", "by"}
 
 
+_MOJIBAKE = re.compile("[ÃÂÄÅ].")
+
+
 def mended(text: str) -> str:
     """UTF-8 read as Latin-1 or Windows-1252 turned back where that is possible throughout."""
-    if re.search("[ÃÂÄÅ][\x80-\xbfŒ-™]|[ÃÂÄÅ].", text):
+    if not text.isascii() and _MOJIBAKE.search(text):
         for code in ("cp1252", "latin-1"):
             try:
                 return text.encode(code).decode("utf-8")
@@ -77,6 +80,8 @@ def mended(text: str) -> str:
 
 def fold(text: str) -> str:
     """Lower-case text without accents, TeX or compatibility forms."""
+    if text.isascii() and "\\" not in text:
+        return text.lower().replace("`", "'")
     text = mended(text)
     if "\\" in text:
         text = TEX.sub(r"\1", text)

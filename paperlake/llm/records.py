@@ -72,23 +72,31 @@ def read_year(raw: str | None) -> int | None:
     return None
 
 
+_LONG = re.compile("[a-z]{4,}")
+_UMLAUT = re.compile("([aou])e")
+_NO_NAME = frozenset({"others", "anonymous", "unknown", "null", *N.NOISE})
+
+
 def read_people(texts: list[str | None], known: N.Known) -> list[str]:
     """Folded name words of four letters or more that are no common given name."""
-    out = set()
-    for t in texts:
-        for w in re.findall(r"[a-z]{4,}", N.fold(re.sub(r"\([^)]*\)", " ", t or ""))):
-            w = re.sub("([aou])e", r"\1", w)
-            if w not in known and w not in N.ORG_WORDS and w not in N.NOISE and w not in ("others", "anonymous", "unknown", "null"):
-                out.add(w)
-    return sorted(out)
+    text = " ; ".join(t for t in texts if t)
+    if "(" in text:
+        text = re.sub(r"\([^)]*\)", " ", text)
+    words = {_UMLAUT.sub(r"\1", w) for w in _LONG.findall(N.fold(text))}
+    return sorted(w for w in words if w not in N.ORG_WORDS and w not in _NO_NAME and w not in known)
+
+
+_PRIME = (1 << 61) - 1
 
 
 def read_gist(text: str | None) -> list[int] | None:
     """Hashes of a quarter of an abstract's word triples; null where too much is lost to compare."""
     if not text or text.count("?") * 15 > len(text):
         return None
-    w = re.findall(r"\w+", re.sub(r"<[^<>]{1,40}>", " ", text).lower())
-    found = sorted({h for h in (zlib.crc32(" ".join(w[i : i + 3]).encode()) for i in range(len(w) - 2)) if h % 4 == 0})
+    if "<" in text:
+        text = re.sub(r"<[^<>]{1,40}>", " ", text)
+    w = [zlib.crc32(x.encode()) for x in re.findall(r"\w+", text.lower())]
+    found = sorted({h for x, y, z in zip(w, w[1:], w[2:]) if not (h := (x * 31 + y * 17 + z) % _PRIME) & 3})
     return found if len(found) >= 4 else None
 
 
