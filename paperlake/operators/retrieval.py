@@ -210,11 +210,11 @@ def merged_scope(ranked_: DataFrame, forced: DataFrame, qkey: str, paper: str, c
     f = forced.select(qkey, paper, F.lit(0).alias("tier"), F.col("ord").alias("o"), F.lit(None).cast("double").alias("score"))
     r = ranked_.select(qkey, paper, F.lit(1).alias("tier"), F.col("place").alias("o"), "score")
     both = f.unionByName(r).groupBy(qkey, paper).agg(
-        F.min(F.struct("tier", "o")).alias("p"), F.coalesce(F.max("score"), F.lit(0.55)).alias("score")
+        F.min(F.struct("tier", "o")).alias("_p"), F.coalesce(F.max("score"), F.lit(0.55)).alias("score")
     )
     n = forced.groupBy(qkey).agg(F.countDistinct(paper).alias("nf"))
     limit = F.when(F.col("nf") == 1, 1).when(F.col("nf") > 1, F.least(F.lit(cap), F.col("nf"))).otherwise(cap)
-    w = Window.partitionBy(qkey).orderBy("p.tier", "p.o", paper)
+    w = Window.partitionBy(qkey).orderBy("_p.tier", "_p.o", paper)
     placed = both.join(n, qkey, "left").withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
     return placed.select(qkey, paper, "score", "place")
 
