@@ -38,7 +38,7 @@ def weights(share: dict[str, float], target: dict[str, float], t: float) -> dict
 
 
 def entropy(w: dict[str, float]) -> float:
-    return -sum(x * math.log(x) for x in w.values() if x > 0)
+    return -sum((x * math.log(x) for x in w.values() if x > 0), 0.0)
 
 
 def plan(sizes: dict[str, int], target: dict[str, float], repeats: dict[str, int], wanted: float | None = None) -> tuple[dict[str, float], float, float]:
@@ -76,13 +76,13 @@ def mix(
     exponent, mixed_tokens, share, most_times, entropy.
     """
     spark = docs.sparkSession
-    cat = catalog.groupBy(F.lower(F.trim("source_name")).alias("source_name")).agg(
+    cat = catalog.where("source_name IS NOT NULL").groupBy(F.lower(F.trim("source_name")).alias("source_name")).agg(
         F.greatest(F.coalesce(F.max("mix_weight"), F.lit(0.0)), F.lit(0.0)).alias("mix_weight"),
         F.greatest(F.coalesce(F.max("max_repeats"), F.lit(1)), F.lit(0)).alias("max_repeats"),
     )
     named = docs.select("doc_id", F.lower(F.trim("source")).alias("source_name"), "text")
     # the catalogue has one row per source; the optimizer broadcasts it by its measured size
-    listed = named.join(cat.where("source_name IS NOT NULL").select("source_name"), "source_name", "left_semi")
+    listed = named.join(cat.select("source_name"), "source_name", "left_semi")
     sized = cut(T.count(listed, ["doc_id", "source_name"], "text", tokenizer, folder).where("tokens > 0"))
 
     place = F.xxhash64(F.lit(seed), "doc_id", "source_name")
