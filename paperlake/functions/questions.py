@@ -100,11 +100,7 @@ def tools(q: Column, kb: Column | None = None) -> Column:
 
 def cleaned(q: Column) -> Column:
     """A question without the first opening it starts with."""
-    t = strip(q)
-    out = t
-    for p in reversed(OPENINGS):
-        out = F.when(F.lower(t).startswith(p), strip(t.substr(F.lit(len(p) + 1), F.length(t)))).otherwise(out)
-    return out
+    return strip(F.regexp_replace(strip(q), "(?i)^(?:" + "|".join(OPENINGS) + ")", ""))
 
 
 def decomposed(q: Column) -> Column:
@@ -154,3 +150,14 @@ def hybrid_weights(answer: Column) -> Column:
     v, b = F.try_element_at(parts, F.lit(1)).try_cast("double"), F.try_element_at(parts, F.lit(2)).try_cast("double")
     fine = v.isNotNull() & b.isNotNull() & (v + b > 0)
     return F.struct(F.when(fine, v / (v + b)).otherwise(0.5).alias("vector"), F.when(fine, b / (v + b)).otherwise(0.5).alias("bm25"))
+
+
+# Words of questions about an ordered procedure.
+WORKFLOW_WORDS = [
+    "workflow", "pipeline", "processing pipeline", "procedure", "step by step", "step-by-step", "stages", "methodology", "methods",
+    "describe in detail", "explain in detail", "how does", "how do", "architecture", "sequence of", "outline the", "outline of",
+]
+
+
+def seeks_workflow(q: Column) -> Column:
+    return _any(F.coalesce(q, F.lit("")), WORKFLOW_WORDS)

@@ -189,3 +189,72 @@ def progress(gaps: Column, sufficient: Column, confidence: Column, replans: Colu
         .when(remaining > 0, "continue")
         .otherwise("answer")
     )
+
+
+def citation_list(hits: DataFrame, group: str) -> DataFrame:
+    """group, url, citation, documents, date of each distinct source; ``date`` is that of the first in order. hits: url, citation, date, pos."""
+    c = hits.select(group, F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.nullif("citation", F.lit("")), F.lit("Unknown")).alias("citation"), "date", "pos")
+    return c.groupBy(group, "url", "citation").agg(F.count("*").alias("documents"), F.min_by("date", "pos").alias("date"))
+
+
+def web_results(answers: DataFrame, key: str, raw: str) -> DataFrame:
+    """key, pos, content, citation, url of web results given as a JSON list, object, ``{"results": …}`` or plain text.
+
+    Null, blank and empty results give no rows; malformed JSON is plain text.
+    """
+    item = "content string, text string, snippet string, body string, citation string, title string, url string"
+    t = F.trim(F.col(raw))
+    listed = F.from_json(t, f"array<struct<{item.replace(' string', ':string')}>>")
+    nested = F.from_json(t, f"results array<struct<{item.replace(' string', ':string')}>>")["results"]
+    single = F.from_json(t, item)
+    some = lambda s, *names: F.coalesce(*[F.nullif(s[n], F.lit("")) for n in names])
+    is_json = t.rlike(r"^[\[{]") & F.try_parse_json(t).isNotNull()
+    rows = F.when(is_json & t.startswith("["), listed).when(is_json, F.coalesce(nested, F.array(single)))
+    shaped = F.transform(
+        rows,
+        lambda s: F.struct(
+            some(s, "content", "text", "snippet", "body").alias("content"),
+            F.coalesce(some(s, "citation", "title"), F.lit("Web search")).alias("citation"),
+            F.coalesce(s["url"], F.lit("")).alias("url"),
+        ),
+    )
+    text_only = F.array(F.struct(t.alias("content"), F.lit("Web search").alias("citation"), F.lit("").alias("url")))
+    flat = answers.where(t != "").select(key, F.posexplode(F.when(is_json, shaped).otherwise(text_only)).alias("pos", "r"))
+    return flat.select(key, "pos", "r.*").where("content IS NOT NULL")
+
+
+def bypassing(hits: DataFrame, group: str, order: str, web: Column, most: int) -> DataFrame:
+    """``source_list`` in which rows marked ``web`` are never duplicates."""
+    key = F.when(web, F.concat(F.lit("#"), F.col(order).cast("string"))).otherwise(F.col("title"))
+    w, v = Window.partitionBy(group, "_k").orderBy(order), Window.partitionBy(group).orderBy(order)
+    first = hits.withColumn("_k", key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_k")
+    return first.withColumn("place", F.row_number().over(v)).where(F.col("place") <= most)
+
+
+def to_fetch(papers: DataFrame, pos: str, least: int, most: int) -> DataFrame:
+    """The first ``most`` papers of at least that relevance whose text is to be fetched."""
+    return papers.where(F.col("relevance") >= least).orderBy(pos).limit(most)
+
+
+def reported(papers: DataFrame, least: int = 3) -> DataFrame:
+    """Found papers worth showing: of that relevance, and not from the knowledge base."""
+    return papers.where((F.col("relevance") >= least) & (F.col("source") != "kb_search"))
+
+
+def for_extraction(papers: DataFrame, pos: str, most: int = 8) -> DataFrame:
+    """The first papers with a full text of 500 or an abstract of 200 characters, body of 400 or more; ``place`` keeps the input's."""
+    full, abstract = F.coalesce("full_text", F.lit("")), F.coalesce("abstract", F.lit(""))
+    body = F.when(F.length(full) >= 500, full).otherwise(abstract)
+    fits = (F.length(full) >= 500) | (F.length(abstract) >= 200)
+    numbered = papers.withColumn("place", F.row_number().over(Window.orderBy(pos))) if "place" not in papers.columns else papers
+    return numbered.where(fits).orderBy(pos).limit(most).withColumn("body", body).where(F.length("body") >= 400)
+
+
+def accuracy(df: DataFrame, predicted: str, expected: str) -> DataFrame:
+    """One row: rows and the share predicted right."""
+    return df.agg(F.count("*").alias("n"), F.avg((F.col(predicted) == F.col(expected)).cast("double")).alias("accuracy"))
+
+
+def outcomes(df: DataFrame, outcome: str, kinds: list[str]) -> DataFrame:
+    """One row: rows attempted and the number of each outcome."""
+    return df.agg(F.count("*").alias("attempted"), *[F.count_if(F.col(outcome) == k).alias(k) for k in kinds])

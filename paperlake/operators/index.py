@@ -76,3 +76,21 @@ def scored(
     both = tf.join(weights.join(vocabulary, "term", "left_semi"), "term").join(qterms, "term").join(F.broadcast(figures.select("avgdl")))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return both.groupBy(qkey, key).agg(F.sum(F.col("idf") * part * F.col("qtf")).alias("score"))
+
+
+def saved(store, kb: str, docs: DataFrame, key: str, text: str, tokens: Tokenizer = space_tokens) -> None:
+    """Write postings, document frequencies and lengths of a knowledge base to its store."""
+    store.replace(kb, postings(docs, key, text, tokens), "postings")
+    store.replace(kb, frequencies(docs, key, text, tokens), "frequencies")
+    store.replace(kb, lengths(docs, key, text, tokens), "lengths")
+
+
+def scored_stored(store, kb: str, key: str, queries: DataFrame, qkey: str, qtext: str, tokens: Tokenizer = space_tokens) -> DataFrame:
+    """``scored`` from a stored index: only postings of the questions' terms are read on."""
+    lens = store.read(kb, "lengths").drop("kb_name")
+    figures = corpus(lens)
+    weights = idf(store.read(kb, "frequencies").drop("kb_name"), figures)
+    terms = query_terms(queries, qkey, qtext, tokens)
+    hits = store.read(kb, "postings").drop("kb_name").join(terms, "term").join(weights, "term").join(lens, key).join(F.broadcast(figures.select("avgdl")))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.groupBy(qkey, key).agg(F.sum(F.col("idf") * part * F.col("qtf")).alias("score"))

@@ -62,3 +62,29 @@ def recommended(papers: DataFrame, assigned: DataFrame, as_of_year: int, most: i
 def concepts(analyses: DataFrame) -> DataFrame:
     """Distinct concepts of all analyses (array column ``concepts``)."""
     return analyses.select(F.explode("concepts").alias("concept")).where(F.trim("concept") != "").distinct()
+
+
+def default_themes(spark, question: str, analyses: DataFrame) -> DataFrame:
+    """Themes where a model found none: three without analyses, two without concepts, no rows otherwise."""
+    none = [f"{question.title()} Research", "Methods and Approaches", "Applications"]
+    bare = [f"{question.title()} Research", "Related Topics"]
+    names = none if analyses.isEmpty() else bare if concepts(analyses).isEmpty() else []
+    return spark.createDataFrame([(n,) for n in names], "theme string")
+
+
+def assigned_or_first(papers: DataFrame, assigned: DataFrame, names: DataFrame) -> DataFrame:
+    """Assignments, or all papers to the first theme (``ord``) where there is none."""
+    any_ = assigned.agg((F.count("*") > 0).alias("_any"))
+    first = names.orderBy("ord").limit(1).select("theme")
+    rest = papers.select("pid").join(F.broadcast(first)).join(F.broadcast(any_)).where("NOT _any")
+    return assigned.select("pid", "theme").unionByName(rest.select("pid", "theme"))
+
+
+def report_lines(picked: DataFrame, order: str) -> DataFrame:
+    """One row: a numbered list of the picked papers (title, authors, year, doi)."""
+    from paperlake.functions.text import reference_line
+
+    c = F.col
+    line = reference_line(c(order), c("title"), c("authors"), c("year"), c("doi"))
+    # a report has the survey's number of papers at most
+    return picked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("l")))), lambda x: x["l"]), "\n").alias("report"))

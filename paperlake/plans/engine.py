@@ -76,7 +76,8 @@ class Engine:
         """Basic retrieval for the question and each of its parts, merged by the best score of a paper."""
         from paperlake.functions.questions import cleaned, subqueries
 
-        parts = questions.select("qid", F.posexplode(F.array_distinct(F.array_prepend(subqueries(cleaned(F.col("q"))), F.col("q")))).alias("n", "q"))
+        clean = questions.select("qid", "q", cleaned(F.col("q")).alias("_c"))
+        parts = clean.select("qid", F.posexplode(F.array_distinct(F.array_prepend(subqueries(F.col("_c")), F.col("q")))).alias("n", "q"))
         flat = parts.select((F.col("qid") * 100 + F.col("n")).alias("qid"), "q")
         hits = self._hits(flat, self.s.top_k).withColumn("qid", F.floor(F.col("qid") / 100))
         best = hits.groupBy("qid", "paper_id").agg(F.max("score").alias("score"))

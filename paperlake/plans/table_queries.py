@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.functions import text
-from paperlake.operators import conversation, evidence, store, survey
+from paperlake import connectors
+from paperlake.functions import ids, questions, text
+from paperlake.operators import chunking, conversation, evidence, scope, store, survey
+from paperlake.plans import engine
 from paperlake.plans.text_queries import _DOI
-from paperlake.session import table
+from paperlake.session import cut, table
 from paperlake.sources import bibtex, services
 from paperlake.streaming import events
 
@@ -383,3 +385,116 @@ def event_windows(s, d):
     e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     w = events.per_window(e, "ts", "event_type")
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
+
+
+def _scope_questions(s, d) -> DataFrame:
+    """Questions that quote the title, or name the DOI, of every hundredth paper."""
+    p = _papers(s, d).where("paper_no % 100 = 0 AND title IS NOT NULL")
+    return p.select(F.col("paper_no").alias("qid"), F.concat(F.lit('What does "'), "title", F.lit('" say about '), F.coalesce("doi", F.lit("it"))).alias("q"))
+
+
+_SCOPE_DOI = r"""q AS (SELECT paper_no qid, 'What does "' || title || '" say about ' || coalesce(doi, 'it') q FROM papers WHERE paper_no % 100 = 0 AND title IS NOT NULL),
+ qd AS (SELECT qid, unnest(regexp_extract_all(q, '(?i)(10\.\d{4,9}/[^\s\])>''",]+)', 1)) raw FROM q),
+ qn AS (SELECT DISTINCT qid, regexp_replace(lower(raw), '[.,);]+$', '') nd FROM qd),"""
+
+
+@query(
+    "scope_doi",
+    f"""WITH {_SCOPE_DOI} pd AS (SELECT regexp_replace({_DOI}, '[.,);]+$', '') nd, min(paper_no) paper_id FROM papers WHERE doi <> '' GROUP BY 1)
+ SELECT DISTINCT qid, paper_id FROM qn JOIN pd USING (nd) WHERE nd <> ''""",
+)
+def scope_doi(s, d):
+    p = _papers(s, d).select(F.col("paper_no").alias("paper_id"), "doi", F.col("paper_no").alias("ord"))
+    return scope.by_doi(_scope_questions(s, d), p, "qid", "q").select("qid", "paper_id")
+
+
+@query("scope_title")
+def scope_title(s, d):
+    p = _papers(s, d).select(F.col("paper_no").alias("paper_id"), "title", F.col("paper_no").alias("ord"))
+    return scope.by_title(_scope_questions(s, d), p, "qid", "q").select("qid", "place", "paper_id", F.round("score", 6).alias("score"))
+
+
+@query("scope_resolve")
+def scope_resolve(s, d):
+    p = _papers(s, d).select(F.col("paper_no").alias("paper_id"), "title", "doi", F.col("paper_no").alias("ord"))
+    return scope.resolved(_scope_questions(s, d), p, "qid", "q")
+
+
+@query(
+    "citation_list",
+    """SELECT paper_id, coalesce(source, '') AS url, coalesce(nullif(section, ''), 'Unknown') AS citation, count(*) AS documents, arg_min(loaded_at, doc_id)::varchar AS date
+ FROM documents GROUP BY ALL""",
+)
+def citation_list(s, d):
+    hits = table(s, d, "documents").select("paper_id", F.col("source").alias("url"), F.col("section").alias("citation"), F.col("loaded_at").alias("date"), F.col("doc_id").alias("pos"))
+    return evidence.citation_list(hits, "paper_id").withColumn("date", F.col("date").cast("string"))
+
+
+@query(
+    "ingest_outcomes",
+    """SELECT count(*) AS attempted, count(*) FILTER (full_text <> '') AS success, count(*) FILTER (coalesce(full_text, '') = '' AND abstract <> '') AS skipped,
+ count(*) FILTER (coalesce(full_text, '') = '' AND coalesce(abstract, '') = '') AS failed FROM papers""",
+)
+def ingest_outcomes(s, d):
+    o = F.when(F.coalesce("full_text", F.lit("")) != "", "success").when(F.coalesce("abstract", F.lit("")) != "", "skipped").otherwise("failed")
+    return evidence.outcomes(_papers(s, d).withColumn("outcome", o), "outcome", ["success", "skipped", "failed"])
+
+
+_WF = " OR ".join(f"contains(lower(content), '{w}')" for w in questions.WORKFLOW_WORDS)
+
+
+@query("workflow_questions", f"SELECT id, loaded_at, ({_WF}) AS seeks FROM messages WHERE content IS NOT NULL")
+def workflow_questions(s, d):
+    m = table(s, d, "messages").where("content IS NOT NULL")
+    return m.select("id", "loaded_at", questions.seeks_workflow(F.col("content")).alias("seeks"))
+
+
+@query("pdf_chain")
+def pdf_chain(s, d):
+    null = F.lit(None).cast("string")
+    p = _papers(s, d).where("doi IS NOT NULL").select(F.col("paper_no").cast("string").alias("no"), "doi", "url", F.col("pdf_url").alias("oa_url"), null.alias("arxiv_id"), null.alias("unpaywall_pdf_url"))
+    return services.pdf_chain(p)
+
+
+@query(
+    "citation_keys",
+    r"""SELECT author_no, coalesce(nullif(family, ''), nullif(regexp_extract(trim(name), '([^ \t\n\x0B\f\r]+)$', 1), ''), 'Unknown') || coalesce("year"::varchar, 'n.d.') AS key
+ FROM paper_authors JOIN papers USING (paper_no)""",
+)
+def citation_keys(s, d):
+    both = table(s, d, "paper_authors").join(_papers(s, d).select("paper_no", "year"), "paper_no")
+    return both.select("author_no", ids.citation_key(F.col("family"), F.col("name"), F.col("year")).alias("key"))
+
+
+@query("article_types")
+def article_types(s, d):
+    return services.by_type(_papers(s, d), "review", "title", "title", "journal").select("paper_no")
+
+
+@query("kb_pipeline")
+def kb_pipeline(s, d):
+    """Chunks with vectors of all searchable papers, as they are ingested."""
+    p = _papers(s, d).select(
+        F.col("paper_no").alias("paper_id"), "title", F.array_join(F.transform("authors", lambda a: a["name"]), ", ").alias("authors"), "year", "doi", "abstract", "full_text", "source"
+    )
+    return engine.built(p, connectors.HashingEmbedder(), 200, 40).select("paper_id", "chunk_index", "id", F.size("embedding").alias("dim"))
+
+
+def _engine(s, d) -> engine.Engine:
+    docs = table(s, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("paper_id"), "text", "source")
+    chunks = chunking.word_windows(docs, "paper_id", "text", 200, 20).join(docs.select("paper_id", "source"), "paper_id")
+    named = chunks.withColumn("id", F.col("paper_id") * 10_000 + F.col("chunk_index"))
+    return engine.Engine(cut(connectors.embedded(named, "chunk", connectors.HashingEmbedder())), connectors.HashingEmbedder(), connectors.EchoModel())
+
+
+def _mode(name: str):
+    def run(s, d):
+        q = _papers(s, d).where("paper_no % 100 = 0 AND title IS NOT NULL").select(F.col("paper_no").alias("qid"), F.col("title").alias("q"))
+        out = _engine(s, d).query(name, q)
+        return out.select("qid", "place", "paper_id", F.round("score", 6).alias("score"), F.length("full_text").alias("chars"))
+
+    return run
+
+
+for _name in ("basic", "advanced", "profound", "agentic", "survey"):
+    QUERIES[f"mode_{_name}"] = _mode(_name)

@@ -161,3 +161,57 @@ def first_provider(results: DataFrame, group: str, priority: str) -> DataFrame:
     """Rows of the first provider in order that found anything, per request."""
     w = Window.partitionBy(group)
     return results.withColumn("_p", F.min(priority).over(w)).where(F.col(priority) == F.col("_p")).drop("_p")
+
+
+CROSSREF = (
+    "title array<string>, DOI string, URL string, author array<struct<given:string,family:string>>, `container-title` array<string>, "
+    "`published-print` struct<`date-parts`:array<array<int>>>, `published-online` struct<`date-parts`:array<array<int>>>, `is-referenced-by-count` int"
+)
+
+
+def crossref_papers(raw: DataFrame) -> DataFrame:
+    """Paper rows of a DOI registry's messages (doi, json); rows that are no message are left out."""
+    m = raw.select("doi", F.from_json("json", CROSSREF).alias("m")).where("m.title IS NOT NULL OR m.author IS NOT NULL")
+    first = lambda c: F.try_element_at(c, F.lit(1))
+    date = F.coalesce(F.col("m.published-print.date-parts"), F.col("m.published-online.date-parts"))
+    name = lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"]))
+    people = F.filter(F.transform("m.author", lambda a: F.struct(name(a).alias("name"), a["given"].alias("given"), a["family"].alias("family"))), lambda a: a["name"] != "")
+    return m.select(
+        F.concat(F.lit("doi:"), "doi").alias("id"), F.coalesce(first(F.col("m.title")), F.lit("Untitled")).alias("title"), people.alias("authors"),
+        first(first(date)).alias("year"), first(F.col("m.container-title")).alias("journal"), "doi", F.col("m.URL").alias("url"),
+        F.col("m.is-referenced-by-count").alias("citation_count"), F.lit("web_search").alias("source"),
+    )
+
+
+def pdf_chain(found: DataFrame, wiley_token: bool = False) -> DataFrame:
+    """doi, priority, source, url: where to try for a PDF, in order. found: DISCOVERY rows and ``url``."""
+    d = F.lower(ids.doi_plain(F.col("doi")))
+    arxiv = F.coalesce(F.col("arxiv_id"), ids.arxiv_of_doi(d), ids.arxiv_of_url(F.col("url")))
+    none = F.lit(None).cast("string")
+    by_publisher = lambda name: ids.publisher(d) == name
+    tries = [
+        ("publisher_oa_pdf", F.col("oa_url").isNotNull(), F.col("oa_url")),
+        ("arxiv_pdf", arxiv.isNotNull(), F.concat(F.lit("https://arxiv.org/pdf/"), arxiv)),
+        ("unpaywall_pdf", F.col("unpaywall_pdf_url").isNotNull(), F.col("unpaywall_pdf_url")),
+        ("openalex_oa_pdf", F.lit(True), none),
+        *[(f"{p.lower()}_pdf", by_publisher(p), none) for p in ("ACS", "RSC", "AAAS", "Springer", "Wiley")],
+        ("wiley_tdm_pdf", F.lit(wiley_token), none),
+    ]
+    rows = F.array(*[F.when(c, F.struct(F.lit(i).alias("priority"), F.lit(n).alias("source"), u.alias("url"))) for i, (n, c, u) in enumerate(tries)])
+    return found.select("doi", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("t")).select("doi", "t.*")
+
+
+def address_kind(x: Column) -> Column:
+    """How an address in a question leads to a paper: struct (kind, id) of arxiv, doi or web; null without an address."""
+    url = ids.url_in(x)
+    doi = F.nullif(F.regexp_replace(F.regexp_extract(url, r"(10\.\d{4,9}/[^\s\])>'\"]+)", 1), r"[.,;)]+$", ""), F.lit(""))
+    arxiv = ids.arxiv_of_url(url)
+    one = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("id"))
+    return F.when(arxiv.isNotNull(), one("arxiv", arxiv)).when(doi.isNotNull(), one("doi", doi)).when(url.isNotNull(), one("web", url))
+
+
+def existing_files(papers: DataFrame, listing: DataFrame, path: str) -> DataFrame:
+    """Papers whose ``path`` is in a file listing (column ``path``, as the binaryFile reader gives it)."""
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    have = listing.select(bare(F.col("path")).alias("_p")).distinct()
+    return papers.join(have, bare(F.col(path)) == F.col("_p"), "left_semi")
