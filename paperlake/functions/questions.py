@@ -106,18 +106,18 @@ def cleaned(q: Column) -> Column:
 def decomposed(q: Column) -> Column:
     """[topic, topic aspect] of ``topic and (its|their|the) aspect``, else [q]."""
     at = r"(?s)^(.*?)\band\b(?:\s+(?:its|their|the))?\s+(.*)$"
-    a, b = F.trim(F.regexp_extract(q, at, 1)), F.trim(F.regexp_extract(q, at, 2))
+    a, b = strip(F.regexp_extract(q, at, 1)), strip(F.regexp_extract(q, at, 2))
     return F.when((F.length(a) > 5) & (F.length(b) > 3), F.array(a, F.concat(a, F.lit(" "), b))).otherwise(F.array(q))
 
 
 def subqueries(q: Column) -> Column:
     """Two search phrases of a comparison or an enumeration, else [q]."""
-    t = F.trim(q)
+    t = strip(q)
     vs = r"(?is)^(.*?)(?:\s+vs\.?\s+|\s+versus\s+)(.*)$"
-    a, b = F.trim(F.regexp_extract(t, vs, 1)), F.trim(F.regexp_extract(t, vs, 2))
+    a, b = strip(F.regexp_extract(t, vs, 1)), strip(F.regexp_extract(t, vs, 2))
     d = decomposed(t)
     both = r"(?is)^(.*?)\s+and\s+(.*)$"
-    c, e = F.trim(F.regexp_extract(t, both, 1)), F.trim(F.regexp_extract(t, both, 2))
+    c, e = strip(F.regexp_extract(t, both, 1)), strip(F.regexp_extract(t, both, 2))
     return (
         F.when((F.length(a) > 2) & (F.length(b) > 2), F.array(a, b))
         .when(F.size(d) >= 2, d)

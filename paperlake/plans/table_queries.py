@@ -466,7 +466,11 @@ def citation_keys(s, d):
     return both.select("author_no", ids.citation_key(F.col("family"), F.col("name"), F.col("year")).alias("key"))
 
 
-@query("article_types")
+@query(
+    "article_types",
+    """SELECT paper_no FROM papers WHERE contains(lower(coalesce(title, '')), 'review') AND (contains(lower(concat_ws(' ', title, journal)), 'review')
+ OR contains(lower(concat_ws(' ', title, journal)), 'survey'))""",
+)
 def article_types(s, d):
     return services.by_type(_papers(s, d), "review", "title", "title", "journal").select("paper_no")
 

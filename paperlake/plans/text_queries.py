@@ -82,7 +82,14 @@ def query_complexity(s, d):
     return _asked(s, d).select("id", "loaded_at", F.round(text.complexity(F.col("content")), 6).alias("complexity"))
 
 
-@query("sampling_temperature")
+_CPX_SQL = _CPX.replace("list_sum(", "coalesce(list_sum(").replace(") / greatest(", "), 0) / greatest(", 1)
+
+
+@query(
+    "sampling_temperature",
+    f"""SELECT id, loaded_at, CASE WHEN c > 0.7 THEN 0.7 ELSE 0.3 END::double AS advanced, CASE WHEN c < 0.7 THEN 0.3 ELSE 0.5 END::double AS profound
+ FROM (SELECT id, loaded_at, {_CPX_SQL} AS c FROM (SELECT *, {words_sql('content')} AS w FROM {_ASKED}))""",
+)
 def sampling_temperature(s, d):
     c = text.complexity(F.col("content"))
     return _asked(s, d).select("id", "loaded_at", text.temperature(c).alias("advanced"), text.temperature(c, "profound").alias("profound"))
@@ -243,7 +250,19 @@ def query_cleanup(s, d):
     return _asked(s, d).select("id", "loaded_at", questions.cleaned(F.col("content")).alias("cleaned"))
 
 
-@query("query_decompose")
+_AND = r"'(?s)^(.*?)\band\b(?:\s+(?:its|their|the))?\s+(.*)$'"
+_VS = r"'(?is)^(.*?)(?:\s+vs\.?\s+|\s+versus\s+)(.*)$'"
+_BOTH = r"'(?is)^(.*?)\s+and\s+(.*)$'"
+
+
+@query(
+    "query_decompose",
+    f"""WITH t AS (SELECT id, loaded_at, {_strip('content')} t FROM {_ASKED}),
+ x AS (SELECT *, {_strip(f'regexp_extract(t, {_VS}, 1)')} a, {_strip(f'regexp_extract(t, {_VS}, 2)')} b, {_strip(f'regexp_extract(t, {_AND}, 1)')} c,
+ {_strip(f'regexp_extract(t, {_AND}, 2)')} e, {_strip(f'regexp_extract(t, {_BOTH}, 1)')} f, {_strip(f'regexp_extract(t, {_BOTH}, 2)')} g FROM t)
+ SELECT id, loaded_at, CASE WHEN length(a) > 2 AND length(b) > 2 THEN [a, b] WHEN length(c) > 5 AND length(e) > 3 THEN [c, c || ' ' || e]
+ WHEN length(f) > 3 AND length(g) > 3 THEN [f, g] ELSE [t] END AS phrases FROM x""",
+)
 def query_decompose(s, d):
     return _asked(s, d).select("id", "loaded_at", questions.subqueries(F.col("content")).alias("phrases"))
 
@@ -270,7 +289,15 @@ def author_display(s, d):
     return table(s, d, "papers").where("authors IS NOT NULL").select("paper_no", text.author_display(names).alias("display"))
 
 
-@query("academic_references")
+@query(
+    "academic_references",
+    r"""WITH p AS (SELECT paper_no, coalesce(list_filter(list_transform(authors, lambda a: a.name), lambda n: n IS NOT NULL), []) n, coalesce(title, 'Unknown Title') t,
+ coalesce("year"::varchar, 'n.d.') y, trim(regexp_replace(trim(doi), '(?i)^(?:https://doi\.org/|http://dx\.doi\.org/|doi:)\s*', '')) d FROM papers),
+ w AS (SELECT *, CASE len(n) WHEN 0 THEN 'Unknown' WHEN 1 THEN n[1] WHEN 2 THEN n[1] || ' & ' || n[2] ELSE n[1] || ' et al.' END who FROM p)
+ SELECT paper_no, CASE WHEN coalesce(d, '') <> '' THEN paper_no || '. [' || who || ', ' || y || '](https://doi.org/' || d || ' "'
+ || CASE WHEN len(n) > 0 THEN array_to_string(n, ', ') || '. ' || y || '. ' || t || '.' ELSE t || '. ' || y || '.' END || '")'
+ ELSE paper_no || '. ' || who || ', ' || y || '. ' || t || '.' END AS line FROM w""",
+)
 def academic_references(s, d):
     names = F.filter(F.transform("authors", lambda p: p["name"]), lambda n: n.isNotNull())
     c = F.col
@@ -323,12 +350,30 @@ def chunk_overlap_trim(s, d):
     return chunking.untrimmed(c, "doc_id", 20).select("doc_id", "chunk_index", "trimmed")
 
 
-@query("chunk_proportional")
+@query(
+    "chunk_proportional",
+    f"""WITH w AS (SELECT doc_id, text, len({words_sql('text')}) n FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT doc_id, text, n, unnest(range(0, n, 80)) s FROM w),
+ c AS (SELECT doc_id, s, floor(s / n * length(text))::int cs, floor(least(s + 100, n) / n * length(text))::int ce, text FROM s WHERE s = 0 OR s - 80 + 100 < n),
+ t AS (SELECT doc_id, s, regexp_replace(substr(text, cs + 1, ce - cs), '^{WS}+|{WS}+$', '', 'g') chunk FROM c)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::int AS chunk_index, chunk FROM t WHERE chunk <> ''""",
+)
 def chunk_proportional(s, d):
     return chunking.proportional(_docs(s, d), "doc_id", "text", 100, 20)
 
 
-@query("section_split")
+_SECTIONS = rf"""l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) l, generate_subscripts(regexp_split_to_array(text, '\r\n|\n|\r'), 1) i
+ FROM documents WHERE text IS NOT NULL), h AS (SELECT *, regexp_matches(regexp_replace(l, '^{WS}+|{WS}+$', '', 'g'), '{chunking.SECTION}') h FROM l),
+ n AS (SELECT *, sum(h::int) OVER (PARTITION BY doc_id ORDER BY i) no FROM h),
+ p AS (SELECT doc_id, no, coalesce(max(regexp_replace(l, '^{WS}+|{WS}+$', '', 'g')) FILTER (h), '_full') section,
+ regexp_replace(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT h), ''), '^{WS}+|{WS}+$', '', 'g') content FROM n GROUP BY doc_id, no)"""
+
+
+@query(
+    "section_split",
+    f"""WITH {_SECTIONS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1)::int AS section_index, section, content FROM p
+ WHERE content <> '' AND NOT regexp_matches(section, '{chunking.REFERENCES}')""",
+)
 def section_split(s, d):
     return chunking.sections(_docs(s, d), "doc_id", "text")
 
