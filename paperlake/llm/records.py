@@ -80,6 +80,8 @@ _NO_NAME = frozenset({"others", "anonymous", "unknown", "null", *N.NOISE})
 def read_people(texts: list[str | None], known: N.Known) -> list[str]:
     """Folded name words of four letters or more that are no common given name."""
     text = " ; ".join(t for t in texts if t)
+    if not text.isascii():
+        text = ";".join(N.mended(t) for t in re.split("[;|]", text))
     if "(" in text:
         text = re.sub(r"\([^)]*\)", " ", text)
     words = {_UMLAUT.sub(r"\1", w) for w in _LONG.findall(N.fold(text))}
@@ -96,7 +98,7 @@ def read_gist(text: str | None) -> list[int] | None:
     if "<" in text:
         text = re.sub(r"<[^<>]{1,40}>", " ", text)
     w = [zlib.crc32(x.encode()) for x in re.findall(r"\w+", text.lower())]
-    found = sorted({h for x, y, z in zip(w, w[1:], w[2:]) if not (h := (x * 31 + y * 17 + z) % _PRIME) & 3})
+    found = sorted({(x * 31 + y * 17 + z) % _PRIME for x, y, z in zip(w, w[1:], w[2:]) if not x & 3})
     return found if len(found) >= 4 else None
 
 
@@ -164,9 +166,9 @@ def keyed(reps: DataFrame) -> DataFrame:
     """The candidate keys of each form (of all sides together): DOI, and parts of the title.
 
     A title of four content words or more is keyed by its first four, by each
-    three of its four rarest (so one typing error there leaves a key), and by
-    its first three in any order with each author; a title of fewer says
-    little and is keyed with each author only.
+    three of its four rarest (so one typing error there leaves a key). All
+    titles are keyed by their first two in any order with each author, those
+    of fewer words, which say little, in no other way.
     """
     words = F.filter(F.split("title", " "), lambda w: ~w.isin(*sorted(STOP)) & (w != ""))
     w = reps.select("no", "side", "title", "tag", "people", "doi", words.alias("w")).withColumn("n", F.size("w"))
@@ -184,9 +186,10 @@ def keyed(reps: DataFrame) -> DataFrame:
         F.concat(
             F.array(key("a", F.slice("w", 1, 4))),
             F.coalesce(rest, F.array().cast("array<string>")),
-            F.transform("people", lambda p: F.concat_ws("|", key("s", F.array_sort(F.slice("w", 1, 3))), p)),
         ),
-    ).otherwise(F.transform("people", lambda p: F.concat_ws("|", F.lit("p"), "tag", "title", p)))
+    ).otherwise(F.array().cast("array<string>"))
+    named = F.transform("people", lambda p: F.concat_ws("|", key("s", F.array_sort(F.slice("w", 1, 2))), p))
+    title = F.concat(title, F.coalesce(named, F.array().cast("array<string>")))
     doi = F.when(F.col("doi").isNotNull(), F.array(F.concat(F.lit("d"), "doi"))).otherwise(F.array())
     keys = F.filter(F.concat(F.when(F.col("title") != "", title).otherwise(F.array()), doi), lambda k: k.isNotNull())
     return w.select("no", "side", F.explode(F.array_distinct(keys)).alias("k"))
