@@ -18,6 +18,11 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 Tokenizer = Callable[[Column], Column]
 
 
+def _each(tokens: Column) -> Column:
+    """One row per token. The outer form keeps the optimizer from computing the tokens once more for a filter."""
+    return F.explode_outer(tokens)
+
+
 def lengths(docs: DataFrame, key: str, text: str, tokens: Tokenizer = space_tokens) -> DataFrame:
     """key, dl: tokens of each document, 0 for null."""
     return docs.select(F.col(key), F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).alias("dl"))
@@ -25,7 +30,7 @@ def lengths(docs: DataFrame, key: str, text: str, tokens: Tokenizer = space_toke
 
 def postings(docs: DataFrame, key: str, text: str, tokens: Tokenizer = space_tokens) -> DataFrame:
     """key, term, tf. Equal terms of a document are summed before the shuffle."""
-    t = docs.select(F.col(key), F.explode(tokens(F.col(text))).alias("term"))
+    t = docs.select(F.col(key), _each(tokens(F.col(text))).alias("term")).where("term IS NOT NULL")
     return t.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -36,21 +41,24 @@ def corpus(lens: DataFrame) -> DataFrame:
 
 def frequencies(docs: DataFrame, key: str, text: str, tokens: Tokenizer = space_tokens) -> DataFrame:
     """term, df."""
-    t = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    t = docs.select(_each(F.array_distinct(tokens(F.col(text)))).alias("term")).where("term IS NOT NULL")
     return t.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def idf(df: DataFrame, figures: DataFrame) -> DataFrame:
-    """term, df, idf. ``figures`` and the mean are single rows."""
-    raw = df.join(F.broadcast(figures.select("n"))).withColumn(
-        "raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    )
+def idf(df: DataFrame, n: int) -> DataFrame:
+    """term, df, idf in a corpus of ``n`` documents. The mean is a single row."""
+    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select(
         "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")
     )
 
 
+def weight(tf: Column, dl: Column, avgdl: float) -> Column:
+    """The part of a term's score that depends on its document."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+
 def query_terms(queries: DataFrame, key: str, text: str, tokens: Tokenizer = space_tokens) -> DataFrame:
     """key, term, qtf: terms of each question and how often it names them."""
     return postings(queries, key, text, tokens).withColumnRenamed("tf", "qtf")
@@ -65,17 +73,14 @@ def scored(
     before they are counted or shuffled; the optimizer broadcasts the terms
     where their size allows it.
     """
-    lens = lengths(docs, key, text, tokens)
-    figures = corpus(lens)
+    size = corpus(lengths(docs, key, text, tokens)).first()  # two numbers
     qterms = query_terms(queries, qkey, qtext, tokens)
     vocabulary = qterms.select("term").distinct()
-    df = frequencies(docs, key, text, tokens)
-    weights = idf(df, figures)
-    with_dl = docs.select(F.col(key), tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    tf = with_dl.join(vocabulary, "term", "left_semi").groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-    both = tf.join(weights.join(vocabulary, "term", "left_semi"), "term").join(qterms, "term").join(F.broadcast(figures.select("avgdl")))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return both.groupBy(qkey, key).agg(F.sum(F.col("idf") * part * F.col("qtf")).alias("score"))
+    weights = idf(frequencies(docs, key, text, tokens), size.n)
+    with_dl = docs.select(F.col(key), tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("dl"), _each(F.col("_t")).alias("term"))
+    tf = with_dl.where("term IS NOT NULL").join(vocabulary, "term", "left_semi").groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    both = tf.join(weights.join(vocabulary, "term", "left_semi"), "term").join(qterms, "term")
+    return both.groupBy(qkey, key).agg(F.sum(F.col("idf") * weight(F.col("tf"), F.col("dl"), size.avgdl or 1.0) * F.col("qtf")).alias("score"))
 
 
 def saved(store, kb: str, docs: DataFrame, key: str, text: str, tokens: Tokenizer = space_tokens) -> None:
@@ -88,9 +93,8 @@ def saved(store, kb: str, docs: DataFrame, key: str, text: str, tokens: Tokenize
 def scored_stored(store, kb: str, key: str, queries: DataFrame, qkey: str, qtext: str, tokens: Tokenizer = space_tokens) -> DataFrame:
     """``scored`` from a stored index: only postings of the questions' terms are read on."""
     lens = store.read(kb, "lengths").drop("kb_name")
-    figures = corpus(lens)
-    weights = idf(store.read(kb, "frequencies").drop("kb_name"), figures)
+    size = corpus(lens).first()
+    weights = idf(store.read(kb, "frequencies").drop("kb_name"), size.n)
     terms = query_terms(queries, qkey, qtext, tokens)
-    hits = store.read(kb, "postings").drop("kb_name").join(terms, "term").join(weights, "term").join(lens, key).join(F.broadcast(figures.select("avgdl")))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(qkey, key).agg(F.sum(F.col("idf") * part * F.col("qtf")).alias("score"))
+    hits = store.read(kb, "postings").drop("kb_name").join(terms, "term").join(weights, "term").join(lens, key)
+    return hits.groupBy(qkey, key).agg(F.sum(F.col("idf") * weight(F.col("tf"), F.col("dl"), size.avgdl or 1.0) * F.col("qtf")).alias("score"))

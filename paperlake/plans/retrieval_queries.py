@@ -90,8 +90,7 @@ def bm25_postings(s, d):
 @query("bm25_idf", f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(s, d):
     docs = table(s, d, "documents")
-    figures = index.corpus(index.lengths(docs, "doc_id", "text"))
-    return index.idf(index.frequencies(docs, "doc_id", "text"), figures).select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.idf(index.frequencies(docs, "doc_id", "text"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _scores(s, d) -> DataFrame:
