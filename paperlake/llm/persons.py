@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.llm import names as N
-from paperlake.session import cut
+from paperlake.session import cut, spread
 
 #: Given names with at least this share of all given parts are common; bounds them to 1 / share.
 COMMON_SHARE = 1e-4
@@ -53,7 +53,7 @@ def common_given(entries: DataFrame) -> frozenset[str]:
                         out += [w for w in N._given(N.fold(part)) if len(w) > 2 and not w.endswith(".")]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["w"])
 
-    words = entries.select("name", "given").mapInArrow(run, "w string").groupBy("w").count().persist()
+    words = spread(entries.select("name", "given")).mapInArrow(run, "w string").groupBy("w").count().persist()
     total = words.agg(F.sum("count")).first()[0] or 0
     need = max(COMMON_LEAST, total * COMMON_SHARE)
     found = frozenset(r[0] for r in words.where(F.col("count") >= need).select("w").collect())
@@ -79,7 +79,7 @@ def read_entries(entries: DataFrame, common: frozenset[str]) -> DataFrame:
             )
 
     some = entries.where("author_no IS NOT NULL")
-    return some.select("author_no", "paper_no", "name", "given", "family").mapInArrow(run, READ)
+    return spread(some.select("author_no", "paper_no", "name", "given", "family")).mapInArrow(run, READ)
 
 
 def radius_join(words: DataFrame) -> DataFrame:

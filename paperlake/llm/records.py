@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperlake.llm import names as N
 from paperlake.operators.skew import hot_keys
-from paperlake.session import cut
+from paperlake.session import cut, spread
 
 # Words that carry no title.
 STOP = frozenset("a an the of and in on for to at by from with under along during after over between its their is are does how as via using".split())
@@ -133,7 +133,7 @@ def forms(
         F.col(no).cast("long").alias("no"), F.col(title).alias("t"), names.alias("p"), F.col(date).cast("string").alias("d"), F.col(doi).alias("doi"),
         (F.col(abstract) if abstract else F.lit(None).cast("string")).alias("x"),
     )
-    return plain.mapInArrow(run, FORM)
+    return spread(plain).mapInArrow(run, FORM)
 
 
 def same_forms(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.session import cut
+from paperlake.session import cut, spread
 
 SPAN = 200
 #: Characters hashed at once; bounds a Python worker's memory whatever a text's length.
@@ -176,7 +176,7 @@ def token_rows(docs: DataFrame, span: int) -> DataFrame:
                     ["doc_id", "h", "pos", "ord"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, h long, pos int, ord int")
+    return spread(docs).mapInArrow(run, "doc_id long, h long, pos int, ord int")
 
 
 def paths(nodes: DataFrame, span: int) -> DataFrame:

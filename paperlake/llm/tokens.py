@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from paperlake.session import spread
+
 #: Folder of the vocabulary files, the same on every executor.
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
@@ -81,7 +83,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str =
                 ids = [encode_text(enc, t) for t in texts.slice(i, step).to_pylist()]
                 yield pa.RecordBatch.from_arrays([keys.slice(i, step), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def decode(coded: DataFrame, key: str = "doc_id", name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -107,4 +109,4 @@ def count(docs: DataFrame, columns: list[str], text: str = "text", name: str = T
             arrays = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64())], [*columns, "tokens"])
 
-    return docs.select(*columns, text).mapInArrow(run, f"{kinds}, tokens long")
+    return spread(docs.select(*columns, text)).mapInArrow(run, f"{kinds}, tokens long")
