@@ -13,7 +13,7 @@ from paperlake.functions import text
 from paperlake.operators import chunking, index
 from paperlake.operators import retrieval as R
 from paperlake.plans.text_queries import _CHUNKS, WS, words_sql
-from paperlake.session import cut, table
+from paperlake.session import cut, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -84,17 +84,17 @@ _BMQ = f"""{_BM}, q AS (SELECT qid, term, count(*) qtf FROM (SELECT paper_no qid
 
 @query("bm25_postings", f"WITH {_BM} SELECT doc_id, term, tf FROM p")
 def bm25_postings(s, d):
-    return index.postings(table(s, d, "documents"), "doc_id", "text")
+    return index.postings(spread(table(s, d, "documents"), "doc_id"), "doc_id", "text")
 
 
 @query("bm25_idf", f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(s, d):
-    docs = table(s, d, "documents")
+    docs = spread(table(s, d, "documents"), "doc_id")
     return index.idf(index.frequencies(docs, "doc_id", "text"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _scores(s, d) -> DataFrame:
-    return index.scored(table(s, d, "documents"), "doc_id", "text", _questions(s, d), "qid", "q")
+    return index.scored(spread(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", _questions(s, d), "qid", "q")
 
 
 @query("bm25_topk", f"WITH {_BMQ} SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
@@ -219,7 +219,7 @@ def paper_dedup_search(s, d):
  FROM mc GROUP BY doc_id) SELECT qid, place, doc_id, round(score, 6) AS score, md5(full_text) AS text_md5 FROM w LEFT JOIN jc USING (doc_id)""",
 )
 def two_pass_fulltext(s, d):
-    docs = table(s, d, "documents")
+    docs = spread(table(s, d, "documents").select("doc_id", "text"), "doc_id")
     best = cut(R.topk(_scores(s, d), "qid", "doc_id", 3).withColumnRenamed("rank", "place"))
     wanted = docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = chunking.word_windows(wanted, "doc_id", "text", 100, 20)

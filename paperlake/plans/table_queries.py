@@ -10,7 +10,7 @@ from paperlake.functions import ids, questions, text
 from paperlake.operators import chunking, conversation, evidence, scope, store, survey
 from paperlake.plans import engine
 from paperlake.plans.text_queries import _DOI
-from paperlake.session import cut, table
+from paperlake.session import cut, spread, table
 from paperlake.sources import bibtex, services
 from paperlake.streaming import events
 
@@ -485,7 +485,7 @@ def kb_pipeline(s, d):
 
 
 def _engine(s, d) -> engine.Engine:
-    docs = table(s, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("paper_id"), "text", "source")
+    docs = spread(table(s, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("paper_id"), "text", "source"))
     chunks = chunking.word_windows(docs, "paper_id", "text", 200, 20).join(docs.select("paper_id", "source"), "paper_id")
     named = chunks.withColumn("id", F.col("paper_id") * 10_000 + F.col("chunk_index"))
     return engine.Engine(cut(connectors.embedded(named, "chunk", connectors.HashingEmbedder())), connectors.HashingEmbedder(), connectors.EchoModel())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import ids, questions, text
 from paperlake.operators import chunking
-from paperlake.session import table
+from paperlake.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,7 +34,7 @@ def _in(values) -> str:
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents")
+    return spread(table(s, d, "documents"), "doc_id")
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:

@@ -50,3 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/paperlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` on all cores where its files give fewer than half as many partitions.
+
+    Files of one row group are one task whatever is done with their rows; a
+    table of many files, as any large one, is left as it is. ``keys`` lets
+    later aggregations by them (and more columns) do without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, *keys) if parts * 2 <= cores else df
