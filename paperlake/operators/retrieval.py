@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SCALE = 6
 #: Questions multiplied with a batch of vectors at a time.
 BLOCK = 1024
+#: Questions that are shipped to all tasks at once; more are joined block by block.
+HELD = 20_000
 
 
 def filters(
@@ -49,48 +51,87 @@ def distance_score(cosine: Column) -> Column:
 def vector_topk(vectors: DataFrame, key: str, vec: str, queries: DataFrame, qkey: str, qvec: str, k: int) -> DataFrame:
     """qkey, key, score, rank: the ``k`` vectors closest to each question by cosine.
 
-    The stated questions are held as one matrix, in blocks of BLOCK, and
-    multiplied with each Arrow batch; a batch passes on its own k best per
+    Up to HELD questions are shipped as one matrix and multiplied with each
+    Arrow batch, BLOCK at a time. More are packed into blocks of rows, as the
+    vectors are, and each pair of blocks is one product; the questions then
+    never come to the driver. Either way a batch passes on its own k best per
     question only, so the shuffle holds k rows per question and batch.
     """
-    rows = queries.select(qkey, qvec).where(F.col(qvec).isNotNull()).orderBy(qkey).toPandas()
-    parts = []
-    for at in range(0, max(len(rows), 1), BLOCK):
-        block = rows.iloc[at : at + BLOCK]
-        ids = block[qkey].to_numpy(dtype="int64") if len(block) else np.zeros(0, "int64")
-        mat = np.array([np.asarray(v, dtype="float64") for v in block[qvec]]) if len(block) else np.zeros((0, 1))
-        parts.append(_topk_block(vectors.select(key, vec), key, qkey, ids, mat, k))
-    best = reduce(DataFrame.unionByName, parts)
+    asked = queries.select(F.col(qkey).cast("long").alias("_q"), F.col(qvec).cast("array<double>").alias("_v")).where(F.col(qvec).isNotNull())
+    stored = vectors.select(F.col(key).cast("long").alias("_k"), F.col(vec).cast("array<double>").alias("_w"))
+    n = asked.count()
+    if n <= HELD:
+        rows = asked.orderBy("_q").toPandas()
+        best = _against(stored, rows["_q"].to_numpy(dtype="int64"), [np.asarray(v) for v in rows["_v"]], k)
+    else:
+        blocks = asked.groupBy(F.pmod(F.xxhash64("_q"), F.lit(-(-n // BLOCK))).alias("b")).agg(F.collect_list(F.struct("_q", "_v")).alias("qs"))
+        best = _blockwise(_packed(stored), blocks, k)
+    named = best.select(F.col("_q").alias(qkey), F.col("_k").alias(key), "score")
     w = Window.partitionBy(qkey).orderBy(F.col("score").desc(), key)
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best(ids: np.ndarray, mat: np.ndarray, keys: np.ndarray, dense: np.ndarray, k: int) -> list[np.ndarray]:
+    """Question, key and score of the k best of each question; a vector of zeros has cosine 0."""
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
+    score = np.round(1 / (1 + np.maximum(0.0, 1 - unit(dense) @ unit(mat).T)), SCALE)
+    tops = [np.lexsort((keys, -score[:, j]))[:k] for j in range(len(ids))]
+    return [
+        np.concatenate([np.full(len(t), q) for q, t in zip(ids, tops)]),
+        np.concatenate([keys[t] for t in tops]),
+        np.concatenate([score[t, j] for j, t in enumerate(tops)]),
+    ]
+
+
+def _dense(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a list column; nulls as zeros."""
+    out = np.zeros((len(column), dim))
+    ok = np.array([v.is_valid for v in column]) if column.null_count else np.ones(len(column), bool)
+    if ok.any():
+        out[ok] = column.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return out
 
 
-def _topk_block(vectors: DataFrame, key: str, qkey: str, ids: np.ndarray, mat: np.ndarray, k: int) -> DataFrame:
-    qn = np.linalg.norm(mat, axis=1) if len(mat) else np.zeros(0)
+def _batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["_q", "_k", "score"])
+
+
+def _against(stored: DataFrame, ids: np.ndarray, rows: list[np.ndarray], k: int) -> DataFrame:
+    mat = np.array(rows, dtype="float64") if rows else np.zeros((0, 1))
 
     def run(batches):
         for b in batches:
             if not len(ids) or not b.num_rows:
                 continue
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            col = b.column(1)
-            ok = np.array([v.is_valid for v in col]) if col.null_count else np.ones(len(col), bool)
-            dim = mat.shape[1]
-            dense = np.zeros((len(col), dim))
-            if ok.any():
-                dense[ok] = np.asarray(col.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False), dtype="float64").reshape(-1, dim)
-            norm = np.linalg.norm(dense, axis=1)
-            cos = (dense @ mat.T) / np.where(norm == 0, 1, norm)[:, None] / np.where(qn == 0, 1, qn)[None, :]
-            score = np.round(1 / (1 + np.maximum(0.0, 1 - cos)), SCALE)
-            out_q, out_k, out_s = [], [], []
-            for j, q in enumerate(ids):
-                top = np.lexsort((keys, -score[:, j]))[:k]
-                out_q.append(np.full(len(top), q))
-                out_k.append(keys[top])
-                out_s.append(score[top, j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_k, out_s)], [qkey, key, "score"])
-
-    return vectors.mapInArrow(run, f"{qkey} long, {key} long, score double")
+            keys, dense = b.column(0).to_numpy(zero_copy_only=False), _dense(b.column(1), mat.shape[1])
+            yield _batch([_best(ids[i : i + BLOCK], mat[i : i + BLOCK], keys, dense, k) for i in range(0, len(ids), BLOCK)])
+
+    return stored.mapInArrow(run, "_q long, _k long, score double")
+
+
+def _packed(stored: DataFrame) -> DataFrame:
+    """One row (ks, ws) per Arrow batch of vectors; null vectors as empty lists."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                ws = [x if x is not None else [] for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([ws], pa.list_(pa.list_(pa.float64())))], ["ks", "ws"])
+
+    return stored.mapInArrow(run, "ks array<long>, ws array<array<double>>")
+
+
+def _blockwise(packed: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """The k best of each pair of a block of vectors and a block of the stated questions."""
+
+    def run(batches):
+        for b in batches:
+            for ks, ws, qs in zip(*(b.column(i).to_pylist() for i in range(3))):
+                ids, mat = np.array([q["_q"] for q in qs]), np.array([q["_v"] for q in qs], dtype="float64")
+                dense = np.array([w or [0.0] * mat.shape[1] for w in ws], dtype="float64")
+                yield _batch([_best(ids, mat, np.array(ks), dense, k)])
+
+    return packed.crossJoin(blocks.select("qs")).mapInArrow(run, "_q long, _k long, score double")
 
 
 def ranked(scores: DataFrame, qkey: str, key: str, score: str = "score") -> DataFrame:
@@ -103,7 +144,7 @@ def topk(scores: DataFrame, qkey: str, key: str, k: int, score: str = "score") -
     return ranked(scores, qkey, key, score).where(F.col("rank") <= k)
 
 
-def minmax(x: Column, over: Column | None = None, by: list[str] | None = None) -> Column:
+def minmax(x: Column, by: list[str] | None = None) -> Column:
     """Scores spread to 0..1 within a question; all equal gives 0.5."""
     w = Window.partitionBy(*(by or []))
     low, high = F.min(x).over(w), F.max(x).over(w)

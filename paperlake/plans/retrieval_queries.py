@@ -6,13 +6,13 @@ the titles of such papers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions import text
 from paperlake.operators import chunking, index
 from paperlake.operators import retrieval as R
-from paperlake.plans.text_queries import _CHUNKS, WS, words_sql
+from paperlake.plans.text_queries import _CHUNKS, words_sql
 from paperlake.session import cut, spread, table
 
 QUERIES: dict = {}
@@ -247,5 +247,3 @@ def relevance_reorder(s, d):
     out = R.reordered(hits.join(docs, "doc_id").join(q, "qid"), "qid", "terms", "text", "section", "yr", 2026)
     return out.select("qid", "doc_id", F.round("relevance", 6).alias("relevance"), "new_place")
 
-
-del WS

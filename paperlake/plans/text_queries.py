@@ -98,7 +98,7 @@ def sampling_temperature(s, d):
 _NORM = "translate(lower(strip_accents(title)), '–—−‐', '----')"
 
 
-@query("normalize_text")
+@query("normalize_text", f"SELECT paper_no, {_NORM} AS normal FROM papers WHERE title IS NOT NULL")
 def normalize_text(s, d):
     return table(s, d, "papers").where("title IS NOT NULL").select("paper_no", text.normalized(F.col("title")).alias("normal"))
 

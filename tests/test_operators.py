@@ -82,13 +82,18 @@ def test_bm25(spark):
     assert got == pytest.approx(brute_bm25(docs | {6: ""}, q))
 
 
-def test_vector_topk(spark):
+def test_vector_topk(spark, monkeypatch):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0])], "id long, v array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "qid long, qv array<float>")
     rows = retrieval.vector_topk(v, "id", "v", q, "qid", "qv", 3).orderBy("rank").collect()
     assert [(r.qid, r.id, r.score) for r in rows] == [(7, 1, 1.0), (7, 3, 1.0), (7, 2, 0.5)]
+    monkeypatch.setattr(retrieval, "HELD", 0)
+    again = retrieval.vector_topk(v, "id", "v", q, "qid", "qv", 3).orderBy("rank").collect()
+    assert [tuple(r) for r in again] == [tuple(r) for r in rows]
     empty = v.where("id < 0")
     assert retrieval.vector_topk(empty, "id", "v", q, "qid", "qv", 3).count() == 0
+    monkeypatch.undo()
+    assert retrieval.vector_topk(empty, "id", "v", q, "qid", "qv", 3).count() == 0
 
 
 def test_fusion_repeated_text(spark):
