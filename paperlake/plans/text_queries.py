@@ -95,7 +95,7 @@ def sampling_temperature(s, d):
     return _asked(s, d).select("id", "loaded_at", text.temperature(c).alias("advanced"), text.temperature(c, "profound").alias("profound"))
 
 
-_NORM = "translate(lower(strip_accents(title)), '–—−‐', '----')"
+_NORM = "translate(lower(strip_accents(replace(replace(title, '…', '...'), chr(160), ' '))), '–—−‐', '----')"
 
 
 @query("normalize_text", f"SELECT paper_no, {_NORM} AS normal FROM papers WHERE title IS NOT NULL")
