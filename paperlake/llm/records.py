@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.llm import names as N
-from paperlake.operators.skew import hot_keys
+from paperlake.operators.skew import hot_keys, lookup
 from paperlake.session import cut, spread
 
 # Words that carry no title.
@@ -151,14 +151,14 @@ def same_forms(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rare_words(words: DataFrame) -> DataFrame:
     """no, side, rare: the four rarest words of each title (no, side, w) that stand in two titles or more.
 
-    Words with more than a thousandth of all occurrences, at most a thousand,
-    are never rare; they are left out before the join on words, which is thus
-    free of hot keys.
+    No word is too frequent to be one of them; a word of a single title could
+    be in no key of two. The rows of hot words are salted in the join with
+    the counts.
     """
-    hot = hot_keys(words, F.col("w"), share=0.001, least=1000)
-    some = words.where(~F.col("w").isin(hot)) if hot else words
-    df = some.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = some.join(df, "w").groupBy("no", "side").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
+    hot = hot_keys(words, F.col("w"))
+    df = words.groupBy(F.col("w").alias("_w")).agg(F.count("*").alias("df")).where("df > 1")
+    some = lookup(words, df, "w", "_w", F.col("no"), hot, how="inner")
+    ranked = some.groupBy("no", "side").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
     return ranked.select("no", "side", F.transform(F.slice("r", 1, 4), lambda x: x["w"]).alias("rare"))
 
 

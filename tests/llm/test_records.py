@@ -186,6 +186,15 @@ def test_linkage(spark):
     assert linkage.pairs(p, r.where("record_no < 0")).count() == 0
 
 
+def test_frequent_words_in_keys(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(21_000).select(F.col("id").alias("no"), F.lit(0).alias("side"), F.lit("cells light growth pressure").alias("title"), F.lit("").alias("tag"))
+    forms = many.withColumns({"people": F.array().cast("array<string>"), "doi": F.lit(None).cast("string")})
+    r = records.keyed(forms).where(F.startswith("k", F.lit("r"))).groupBy("no").count()
+    assert [tuple(x) for x in r.groupBy("count").agg(F.count("*")).collect()] == [(4, 21_000)]
+
+
 def test_label_model():
     import random
 
