@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -221,7 +222,8 @@ def title_match(a: str, b: str, cut_a: bool, cut_b: bool) -> str:
     while j < min(len(x), len(y)) - i and x[-1 - j] == y[-1 - j]:
         j += 1
     rx, ry = x[i : len(x) - j], y[i : len(y) - j]
-    if not (cut_a or cut_b) and min(len(rx), len(ry)) > 8:
+    # each difference takes a word of the longer rest, and neither ``near`` nor ``word`` allows more than three
+    if not (cut_a or cut_b) and max(len(rx), len(ry)) - (Counter(rx) & Counter(ry)).total() > 3:
         return "other"
     minor, major = _align(rx, ry)
     if major == 0 and minor <= 3:
