@@ -343,8 +343,7 @@ def content_priority(s, d):
  try_cast(regexp_extract(coalesce(date_text, ''), '^(\d{1,6})(?:-|$)', 1) AS int) AS "year" FROM search_records WHERE NOT contains(coalesce(author, ''), ' and ')""",
 )
 def zotero_map(s, d):
-    r = table(s, d, "search_records").where("NOT contains(coalesce(author, ''), ' and ')")
-    return services.zotero_papers(r).select("record_no", "id", F.size("authors").alias("n_authors"), "year")
+    return services.zotero_papers(table(s, d, "search_records")).select("record_no", "id", F.size("authors").alias("n_authors"), "year")
 
 
 @query("bibtex_documents")

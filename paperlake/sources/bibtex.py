@@ -139,7 +139,7 @@ def normalized(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fields", F.map_concat(rest, extra))
 
 
-def _authors(x: Column) -> Column:
+def _authors(x: Column, between: str = " and ") -> Column:
     def one(a: Column) -> Column:
         comma = F.instr(a, ",") > 0
         family = F.when(comma, F.trim(F.substring_index(a, ",", 1))).otherwise(F.nullif(F.regexp_extract(a, r"^.* (\S+)$", 1), F.lit("")))
@@ -149,7 +149,7 @@ def _authors(x: Column) -> Column:
         none = F.lit(None).cast("string")
         return F.struct(name.alias("name"), given.alias("given"), family.alias("family"), none.alias("orcid"))
 
-    parts = F.filter(F.transform(F.split(x, " and "), F.trim), lambda a: a != "")
+    parts = F.filter(F.transform(F.split(x, between), F.trim), lambda a: a != "")
     return F.coalesce(F.transform(parts, one), F.array().cast(f"array<{schemas.AUTHOR}>"))
 
 

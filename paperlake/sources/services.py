@@ -96,10 +96,10 @@ def zotero_papers(records: DataFrame) -> DataFrame:
 
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     title = F.coalesce(some("title"), F.lit("Untitled"))
-    names = F.regexp_replace(F.coalesce("author", F.lit("")), r"\s*;\s*", " and ")
+    authors = _authors(F.coalesce("author", F.lit("")), r"\s*;\s*")  # "and" may be part of an organisation's name
     null = F.lit(None).cast("string")
     return records.select(
-        "record_no", ids.paper_id(F.col("doi"), null, title, F.col("url")).alias("id"), title.alias("title"), _authors(names).alias("authors"),
+        "record_no", ids.paper_id(F.col("doi"), null, title, F.col("url")).alias("id"), title.alias("title"), authors.alias("authors"),
         some("abstract_note").alias("abstract"), F.regexp_extract(F.coalesce("date_text", F.lit("")), r"^(\d{1,6})(?:-|$)", 1).try_cast("int").alias("year"),
         some("publication_title").alias("journal"), some("doi").alias("doi"), some("url").alias("url"),
         F.when(F.col("citation_count") != 0, F.col("citation_count")).alias("citation_count"), F.lit("scilex").alias("source"),

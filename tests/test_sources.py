@@ -82,6 +82,19 @@ def test_services(spark):
     assert [x[0] for x in b.select(services.pdf_bytes_ok(F.col("b"))).collect()] == [True, True, False, False]
 
 
+def test_zotero_authors_with_and(spark, tmp_path):
+    from paperlake.plans import registry
+
+    names = ["Doe, John; Institute of Ice and Light", "Doe, John and Smith, Jane", "Doe, John;Smith, Jane ; ", "Cher", None, ""]
+    rows = [(i, "T", a, "2024-01-02", "", "J", "", "", 3, None) for i, a in enumerate(names)]
+    kinds = "record_no long, title string, author string, date_text string, doi string, publication_title string, abstract_note string, url string, citation_count int, api_source string"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/search_records.parquet")
+    want = {i: len([p for p in (a or "").replace("; ", ";").split(";") if p.strip()]) for i, a in enumerate(names)}
+    assert {r.record_no: r.n_authors for r in registry.QUERIES["zotero_map"](spark, str(tmp_path)).collect()} == want
+    z = services.zotero_papers(spark.createDataFrame(rows[:1], kinds)).first()
+    assert [a.name for a in z.authors] == ["John Doe", "Institute of Ice and Light"]
+
+
 def test_connectors(spark):
     df = spark.createDataFrame([(1, "cell growth"), (2, ""), (3, None)], "id int, t string")
     v = connectors.embedded(df, "t", connectors.HashingEmbedder(8)).orderBy("id").collect()
