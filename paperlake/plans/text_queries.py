@@ -109,7 +109,7 @@ def normalize_text(s, d):
  lambda t: length(t) > 1 AND t NOT IN ({_in(text.SET_STOPWORDS)})))) AS tokens FROM papers WHERE regexp_full_match(title, '[\\x00-\\x7F]*')""",
 )
 def title_tokens(s, d):
-    p = table(s, d, "papers").where(F.col("title").rlike(r"^[\x00-\x7F]*$"))
+    p = table(s, d, "papers").where("title IS NOT NULL")
     return p.select("paper_no", F.sort_array(text.token_set(text.normalized(F.col("title")))).alias("tokens"))
 
 

@@ -146,3 +146,12 @@ def test_ready(spark):
     steps = spark.createDataFrame([("p", "a", "kb_search", []), ("p", "b", "answer", ["a"]), ("q", "a", "kb_search", [])], "plan string, id string, type string, depends_on array<string>")
     done = spark.createDataFrame([("p", ["a"])], "plan string, ids array<string>")
     assert sorted(map(tuple, planner.ready(steps, done).collect())) == [("p", "b"), ("q", "a")]
+
+
+def test_title_tokens_of_all_titles(spark, tmp_path):
+    from paperlake.plans import registry
+
+    rows = [(1, "Growth of Cells"), (2, "Café–Ñandú growth… of cells"), (3, "細胞"), (4, "")]
+    spark.createDataFrame(rows, "paper_no long, title string").write.parquet(f"{tmp_path}/papers.parquet")
+    got = {r.paper_no: r.tokens for r in registry.QUERIES["title_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {1: ["cells", "growth"], 2: ["cafe", "cells", "growth", "nandu"], 3: [], 4: []}
