@@ -64,12 +64,12 @@ ORG_SHORT = {short: word for word, short in ORG_WORDS.items()} | {
 SMALL = {"the", "of", "and", "for", "on", "in", "at", "a", "an", "to", "behalf", "by"}
 
 
-_MOJIBAKE = re.compile("[ÃÂÄÅ].")
+MOJIBAKE = re.compile("[ÃÂÄÅ].")
 
 
 def mended(text: str) -> str:
     """UTF-8 read as Latin-1 or Windows-1252 turned back where that is possible throughout."""
-    if not text.isascii() and _MOJIBAKE.search(text):
+    if not text.isascii() and MOJIBAKE.search(text):
         for code in ("cp1252", "latin-1"):
             try:
                 return text.encode(code).decode("utf-8")
@@ -78,6 +78,14 @@ def mended(text: str) -> str:
     return text
 
 
+_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+
+
+def unaccented(text: str) -> str:
+    """Text without accents or compatibility forms, its case kept."""
+    return _COMBINING.sub("", unicodedata.normalize("NFKD", text.translate(LETTERS)))
+
+
 def fold(text: str) -> str:
     """Lower-case text without accents, TeX or compatibility forms."""
     if text.isascii() and "\\" not in text:
@@ -86,8 +94,7 @@ def fold(text: str) -> str:
     if "\\" in text:
         text = TEX.sub(r"\1", text)
         text = TEX_LETTER.sub(lambda m: TEX_LETTERS[m[1]], text).replace("{", "").replace("}", "")
-    text = unicodedata.normalize("NFKD", text.translate(LETTERS))
-    return "".join(c for c in text if not unicodedata.combining(c)).lower().replace("’", "'").replace("`", "'")
+    return unaccented(text).lower().replace("’", "'").replace("`", "'")
 
 
 @dataclass
@@ -155,6 +162,7 @@ class Known:
             for c in {n, *(n[:i] + n[i + 1 :] for i in range(len(n)))}:
                 self.cuts.setdefault(c, []).append(n)
         self.seen: dict[str, bool] = {}
+        self.words: dict[str, str | None] = {}
 
     def __contains__(self, w: str) -> bool:
         if w in self.names or w in NICKNAMES:

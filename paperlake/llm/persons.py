@@ -41,19 +41,16 @@ RADIUS_FROM = 5
 READ = "author_no long, paper_no long, kind string, family string, given string"
 
 
+# Accented letters and what stands for them, one to one.
+ACCENTED = "àáâãäåāăąçćčďđèéêëēėęěğìíîïīıłñńňòóôõöøōőŕřśşšťùúûüūůűýÿźżž"
+PLAIN = "aaaaaaaaacccddeeeeeeeegiiiiiilnnnoooooooorrssstuuuuuuuyyzzz"
+
+
 def common_given(entries: DataFrame) -> frozenset[str]:
     """Folded given names that are common where their place is certain (after a comma, or in ``given``)."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for name, given in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for part in (name.split(",", 1)[1] if name and "," in name else None, given):
-                    if part:
-                        out += [w for w in N._given(N.fold(part)) if len(w) > 2 and not w.endswith(".")]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["w"])
-
-    words = spread(entries.select("name", "given")).mapInArrow(run, "w string").groupBy("w").count().persist()
+    parts = F.array(F.regexp_extract("name", ",(.*)$", 1), F.coalesce("given", F.lit("")))
+    text = F.translate(F.lower(F.concat_ws(" ", parts)), ACCENTED, PLAIN)
+    words = entries.select(F.explode(F.regexp_extract_all(text, F.lit("(?<![^\\s,-])[a-z]{3,}(?![^\\s,-])"), F.lit(0))).alias("w")).groupBy("w").count().persist()
     total = words.agg(F.sum("count")).first()[0] or 0
     need = max(COMMON_LEAST, total * COMMON_SHARE)
     found = frozenset(r[0] for r in words.where(F.col("count") >= need).select("w").collect())

@@ -9,11 +9,11 @@ from collections import Counter
 from urllib.parse import unquote
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.llm import names as N
-from paperlake.operators.skew import hot_keys, lookup
 from paperlake.session import cut, spread
 
 # Words that carry no title.
@@ -31,25 +31,34 @@ PART = re.compile(r"(?:[\s:,;.\-–(]+(?:part|pt\.?|no\.?|volume|vol\.?|chapter)
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 EMPTY = re.compile(r"^\W*(?:null|none|n/?a|nan|untitled|unknown|no title|title|\[no title\]|-+|\?+)?\W*$", re.I)
 
-FORM = "no long, side int, title string, cut boolean, tag string, people array<string>, year int, doi string, gist array<long>"
+FORM = "no long, side int, title string, cut boolean, tag string, people array<string>, year int, doi string, text_hash long, keys array<long>"
+
+_LAST = re.compile(r"[^\W_]+(?=\W*$)")
 
 
 def read_title(raw: str | None) -> tuple[str, bool, str]:
     """(words, cut short, tag): the tag tells a part, reply or correction from the paper itself."""
-    t = html.unescape(re.sub(r"<[^<>]{1,40}>", "", raw or ""))
-    t = re.sub(r"\s+", " ", t).strip()
-    for _ in range(2):
-        t = LABEL.sub("", t)
-    t = TAIL.sub("", t)
+    t = raw or ""
+    if "<" in t:
+        t = re.sub(r"<[^<>]{1,40}>", "", t)
+    if "&" in t:
+        t = html.unescape(t).replace("&", " and ")
+    t = " ".join(t.split())
+    if t[:1] in "([" or ":" in t[:24] or "-" in t[:24] or "–" in t[:24]:
+        for _ in range(2):
+            t = LABEL.sub("", t)
+    if t[-1:] in ")]":
+        t = TAIL.sub("", t)
     if EMPTY.match(t):
         return "", False, ""
-    short = bool(re.search(r"(?:\.\.\.|…|\[\.\.\.\])\s*$", t))
-    t = N.fold(re.sub(r"[{}]", "", t).replace("&", " and ")).strip()
+    short = t.endswith(("...", "…", "[...]"))
+    t = N.fold(t.replace("{", "").replace("}", "")).strip()
     tag = ""
     m = ABOUT.match(t)
     if m and len(t) > m.end() + 8 and (re.search(r"\b(?:on|to|of|for)\b|:", m[0])):
         tag, t = m[1][:6], t[m.end() :]
-    if not short and (p := PART.search(t)):
+    # only a last word this short can number a part
+    if not short and (w := _LAST.search(t, max(0, len(t) - 24))) and len(w[0]) <= 5 and (p := PART.search(t)):
         v = p[1] or p[2]
         tag += f"#{ROMAN.get(v) or (int(v) if v.isdigit() else ord(v) - 96)}"
         t = t[: p.start()]
@@ -73,48 +82,82 @@ def read_year(raw: str | None) -> int | None:
     return None
 
 
-_LONG = re.compile("[a-z]{4,}")
+_WORD = re.compile("[A-Za-z]{2,}")
 _UMLAUT = re.compile("([aou])e")
-_NO_NAME = frozenset({"others", "anonymous", "unknown", "null", *N.NOISE})
+_NO_NAME = frozenset({"others", "anonymous", "unknown", "null", "and", "et", *N.NOISE, *N.PARTICLES, *N.ORG_WORDS})
 
 
 def read_people(texts: list[str | None], known: N.Known) -> list[str]:
-    """Folded name words of four letters or more that are no common given name."""
+    """Folded name words that are no initials, particles or common given names.
+
+    Words of two or three letters count unless they are all capitals, as initials are.
+    """
     text = " ; ".join(t for t in texts if t)
     if not text.isascii():
-        text = ";".join(N.mended(t) for t in re.split("[;|]", text))
+        if N.MOJIBAKE.search(text):
+            text = ";".join(N.mended(t) for t in re.split("[;|]", text))
+        text = N.unaccented(text)
     if "(" in text:
         text = re.sub(r"\([^)]*\)", " ", text)
-    words = {_UMLAUT.sub(r"\1", w) for w in _LONG.findall(N.fold(text))}
-    return sorted(w for w in words if w not in N.ORG_WORDS and w not in _NO_NAME and w not in known)
-
-
-_PRIME = (1 << 61) - 1
-
-
-def read_gist(text: str | None) -> list[int] | None:
-    """Hashes of a quarter of an abstract's word triples; null where too much is lost to compare."""
-    if not text or text.count("?") * 15 > len(text):
-        return None
-    if "<" in text:
-        text = re.sub(r"<[^<>]{1,40}>", " ", text)
-    w = [zlib.crc32(x.encode()) for x in re.findall(r"\w+", text.lower())]
-    found = sorted({(x * 31 + y * 17 + z) % _PRIME for x, y, z in zip(w, w[1:], w[2:]) if not x & 3})
-    return found if len(found) >= 4 else None
+    kept, words = known.words, set()
+    for w in _WORD.findall(text):
+        if w not in kept:
+            v = _UMLAUT.sub(r"\1", w.lower())
+            kept[w] = v if (len(w) > 3 or not w.isupper()) and v not in _NO_NAME and v not in known else None
+        if kept[w]:
+            words.add(kept[w])
+    return sorted(words)
+
+
+def keys_of(title: str, tag: str, people: list[str], doi: str | None) -> list[int]:
+    """64-bit candidate keys of a record: its DOI and parts of its title.
+
+    A title's content words are ordered by their length, then by a hash. Each
+    three of its first four are a key, so two titles that differ in any one
+    word share one whatever their length: the first three of the words in
+    common are among the first four of both. The first two words as typed, in
+    any order, are a key with each author, which survives changes at the end;
+    a title of fewer than four words has its set of words and each word with
+    each author. The order hangs on the words alone, so keys are the same in
+    any corpus. Equal hashes of different keys cost a comparison, no more.
+    """
+    hashed, out = xxhash.xxh64_intdigest, set()
+    h = lambda *x: hashed("|".join(x)) - (1 << 63)
+    words = [w for w in title.split() if w not in STOP] or title.split()
+    if words:
+        best = sorted(set(words), key=lambda w: (-len(w), zlib.crc32(w.encode())))[:4]
+        if len(best) == 4:
+            for i in range(4):
+                out.add(h("r", tag, *sorted(best[:i] + best[i + 1 :])))
+            first = [" ".join(sorted(words[:2]))]
+        else:
+            out.add(h("r", tag, *sorted(best)))
+            first = best
+        for f in first:
+            start = f"s|{tag}|{f}|"
+            out.update(hashed(start + p) - (1 << 63) for p in people)
+    if doi:
+        out.add(h("d", doi))
+    return sorted(out)
 
 
 def forms(
-    df: DataFrame, side: int, no: str, title: str, people: str, date: str, doi: str, common: frozenset[str], abstract: str | None = None
+    df: DataFrame, side: int, no: str, title: str, people: str, date: str, doi: str, common: frozenset[str], text: str | None = None
 ) -> DataFrame:
-    """FORM of each row; ``people`` is an array of structs with ``name`` or one string."""
+    """FORM of each row; ``people`` is an array of structs with ``name`` or one string.
+
+    ``text_hash`` is a hash of ``text``, null where none is given or stands.
+    """
     nested = not df.schema[people].dataType.simpleString().startswith("string")
     names = F.transform(people, lambda p: p["name"]) if nested else F.array(people)
 
     def run(batches):
         known = N.Known(common)
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(6)]
-            titles = [read_title(t) for t in cols[1]]
+            cols = [b.column(i).to_pylist() for i in range(1, 5)]
+            titles = [read_title(t) for t in cols[0]]
+            who = [read_people(x or [], known) for x in cols[1]]
+            dois = [read_doi(x) for x in cols[3]]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -122,86 +165,58 @@ def forms(
                     pa.array([t[0] for t in titles], pa.string()),
                     pa.array([t[1] for t in titles], pa.bool_()),
                     pa.array([t[2] for t in titles], pa.string()),
-                    pa.array([read_people(x or [], known) for x in cols[2]], pa.list_(pa.string())),
-                    pa.array([read_year(x) for x in cols[3]], pa.int32()),
-                    pa.array([read_doi(x) for x in cols[4]], pa.string()),
-                    pa.array([read_gist(x) for x in cols[5]], pa.list_(pa.int64())),
+                    pa.array(who, pa.list_(pa.string())),
+                    pa.array([read_year(x) for x in cols[2]], pa.int32()),
+                    pa.array(dois, pa.string()),
+                    b.column(5),
+                    pa.array([keys_of(t[0], t[2], p, d) for t, p, d in zip(titles, who, dois)], pa.list_(pa.int64())),
                 ],
                 [x.split()[0] for x in FORM.split(", ")],
             )
 
     plain = df.where(F.col(no).isNotNull()).select(
         F.col(no).cast("long").alias("no"), F.col(title).alias("t"), names.alias("p"), F.col(date).cast("string").alias("d"), F.col(doi).alias("doi"),
-        (F.col(abstract) if abstract else F.lit(None).cast("string")).alias("x"),
+        (F.when(F.col(text).isNotNull(), F.xxhash64(text)) if text else F.lit(None).cast("long")).alias("x"),
     )
     return spread(plain).mapInArrow(run, FORM)
 
 
-def same_forms(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per distinct form and side, (no, rep) of all rows): copies are compared once.
+def distinct_forms(rows: DataFrame) -> DataFrame:
+    """no, side, rep, keys of each row of FORM: copies are compared once.
 
-    ``rep`` is the smallest number of a form; the counts are combined before the shuffle.
+    ``rep`` is the smallest number of the rows of one form and side, which
+    alone keeps its keys; a row with neither title nor DOI is no copy of another. The counts are combined before the shuffle; a form
+    of many rows has one row on the other side of the join.
     """
-    parts = ["title", "cut", "tag", "people", "year", "doi", "gist"]
-    marked = rows.withColumn("f", F.md5(F.to_json(F.struct("side", *parts))))
-    first = marked.groupBy("f").agg(F.min("no").alias("rep"))
-    members = marked.select("no", "f").join(first, "f").select("no", "rep")
-    return rows.join(members.where("no = rep").select("no"), "no", "left_semi"), members
-
+    parts = ["side", "title", "cut", "tag", "people", "year", "doi", "text_hash"]
+    f = [F.xxhash64(*parts).alias("f1"), F.xxhash64(F.lit(1), *reversed(parts)).alias("f2")]
+    first = rows.groupBy(*f).agg(F.min("no").alias("least"))
+    says = (F.col("title") != "") | F.col("doi").isNotNull()
+    rep = F.when(F.col("says"), F.col("least")).otherwise(F.col("no"))
+    return rows.select("no", "side", "keys", says.alias("says"), *f).join(first, ["f1", "f2"]).select(
+        "no", "side", rep.alias("rep"), F.when(F.col("no") == rep, F.col("keys")).alias("keys")
+    )
 
-def rare_words(words: DataFrame) -> DataFrame:
-    """no, side, rare: the four rarest words of each title (no, side, w) that stand in two titles or more.
 
-    No word is too frequent to be one of them; a word of a single title could
-    be in no key of two. The rows of hot words are salted in the join with
-    the counts.
-    """
-    hot = hot_keys(words, F.col("w"))
-    df = words.groupBy(F.col("w").alias("_w")).agg(F.count("*").alias("df")).where("df > 1")
-    some = lookup(words, df, "w", "_w", F.col("no"), hot, how="inner")
-    ranked = some.groupBy("no", "side").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
-    return ranked.select("no", "side", F.transform(F.slice("r", 1, 4), lambda x: x["w"]).alias("rare"))
+#: Rows of a key in one task of the pairing; more are dealt to several tasks.
+SLICE = 512
 
 
-def keyed(reps: DataFrame) -> DataFrame:
-    """The candidate keys of each form (of all sides together): DOI, and parts of the title.
+def pairs(marked: DataFrame, across: bool) -> tuple[DataFrame, DataFrame]:
+    """(distinct (a, b) that share a key, the numbers in any of them).
 
-    A title of four content words or more is keyed by its first four, by each
-    three of its four rarest (so one typing error there leaves a key). All
-    titles are keyed by their first two in any order with each author, those
-    of fewer words, which say little, in no other way.
+    ``across``: a of side 0 and b of side 1, else a < b. The left side of a key
+    of many rows is dealt to slices, the right side repeated to each, so no
+    task meets more than SLICE rows of it times all.
     """
-    words = F.filter(F.split("title", " "), lambda w: ~w.isin(*sorted(STOP)) & (w != ""))
-    w = reps.select("no", "side", "title", "tag", "people", "doi", words.alias("w")).withColumn("n", F.size("w"))
-    w = cut(w)
-    rare = rare_words(w.where("n >= 4").select("no", "side", F.explode(F.array_distinct("w")).alias("w")))
-    w = w.join(rare, ["no", "side"], "left")
-    key = lambda name, x: F.concat(F.lit(name), F.col("tag"), F.lit("|"), F.array_join(x, " "))
-    r = F.array_sort("rare")
-    without = lambda i: F.concat(F.slice(r, 1, i - 1), F.slice(r, i + 1, 4)) if i > 1 else F.slice(r, 2, 4)
-    rest = F.when(F.size("rare") == 4, F.array(*[key("r", without(i)) for i in (1, 2, 3, 4)])).when(
-        F.size("rare") == 3, F.array(key("r", r))
-    )
-    title = F.when(
-        F.col("n") >= 4,
-        F.concat(
-            F.array(key("a", F.slice("w", 1, 4))),
-            F.coalesce(rest, F.array().cast("array<string>")),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    named = F.transform("people", lambda p: F.concat_ws("|", key("s", F.array_sort(F.slice("w", 1, 2))), p))
-    title = F.concat(title, F.coalesce(named, F.array().cast("array<string>")))
-    doi = F.when(F.col("doi").isNotNull(), F.array(F.concat(F.lit("d"), "doi"))).otherwise(F.array())
-    keys = F.filter(F.concat(F.when(F.col("title") != "", title).otherwise(F.array()), doi), lambda k: k.isNotNull())
-    return w.select("no", "side", F.explode(F.array_distinct(keys)).alias("k"))
-
-
-def pairs(keys: DataFrame, across: bool) -> DataFrame:
-    """Distinct (a, b) that share a key; ``across``: a of side 0 and b of side 1, else a < b."""
-    a = keys.select(F.col("no").alias("a"), F.col("side").alias("sa"), "k")
-    b = keys.select(F.col("no").alias("b"), F.col("side").alias("sb"), "k")
-    both = a.where("sa = 0").join(b.where("sb = 1"), "k") if across else a.join(b, "k").where("a < b")
-    return both.select("a", "b").distinct()
+    keys = marked.where("no = rep").select("no", "side", F.explode("keys").alias("k"))
+    counts = keys.groupBy("k").agg(F.count("*").alias("n"), F.max("side").alias("hi"), F.min("side").alias("lo"))
+    several = cut(keys.join(counts.where("lo < hi" if across else "n > 1").select("k", "n"), "k"))
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    a = several.select(F.col("no").alias("a"), F.col("side").alias("sa"), "k", F.pmod(F.xxhash64("no"), slices).cast("int").alias("s"))
+    b = several.select(F.col("no").alias("b"), F.col("side").alias("sb"), "k", F.explode(F.sequence(F.lit(0), slices - 1)).alias("s"))
+    both = a.where("sa = 0").join(b.where("sb = 1"), ["k", "s"]) if across else a.join(b, ["k", "s"]).where("a < b")
+    return both.select("a", "b").distinct(), several.select("side", "no").distinct()
 
 
 def title_match(a: str, b: str, cut_a: bool, cut_b: bool) -> str:
@@ -288,24 +303,35 @@ def doi_match(a: str | None, b: str | None) -> str:
     return "none" if a is None or b is None else "same" if a == b else "no"
 
 
-def gist_match(a: list[int] | None, b: list[int] | None) -> str:
-    return "none" if not a or not b else "same" if set(a) & set(b) else "no"
+def _triples(text: str) -> set[tuple[str, ...]]:
+    w = re.findall(r"\w+", re.sub(r"<[^<>]{1,40}>", " ", text).lower())
+    return set(zip(w, w[1:], w[2:]))
+
+
+def gist_match(a: str | None, b: str | None) -> str:
+    """``same`` if two abstracts have three words in a row in common, ``no`` if not, ``none`` where too little is legible."""
+    if not a or not b:
+        return "none"
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if len(short) >= 120 and short[40:100] in long:
+        return "same"
+    if short.count("?") * 15 > len(short) or long.count("?") * 15 > len(long):
+        return "none"
+    x, y = _triples(short), _triples(long)
+    return "none" if min(len(x), len(y)) < 8 else "same" if x & y else "no"
 
 
 COMPARED = "a long, b long, title string, plain boolean, tag boolean, people string, year string, doi string, gist string"
 
 
 def compared(cands: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """COMPARED of each candidate pair: how the two forms agree. ``plain``: a title of fewer than four content words."""
-    cols = ["title", "cut", "tag", "people", "year", "doi", "gist"]
+    """COMPARED of each candidate pair: how the two forms agree. ``plain``: a title of fewer than four content words.
+
+    Forms with a column ``text`` are compared by it too, where title and people alone would join them.
+    """
+    cols = ["title", "cut", "tag", "people", "year", "doi"] + (["text"] if "text" in left.columns else [])
     pick = lambda df, k: df.select(F.col("no").alias(k), F.struct(*cols).alias(f"f{k}"))
     joined = cands.join(pick(left, "a"), "a").join(pick(right, "b"), "b").select("a", "b", "fa", "fb")
-    # what the rules could not call one paper anyway is left out before Python: another series tag, or titles
-    # with less than two fifths of the shorter one's words in common that have no DOI in common either
-    wa, wb = F.split("fa.title", " "), F.split("fb.title", " ")
-    common = F.size(F.array_intersect(wa, wb)) * 5 >= F.least(F.size(wa), F.size(wb)) * 2
-    glued = F.levenshtein(F.replace("fa.title", F.lit(" "), F.lit("")), F.replace("fb.title", F.lit(" "), F.lit("")), 4) >= 0
-    joined = joined.where((F.col("fa.tag") == F.col("fb.tag")) & (common | glued | (F.col("fa.doi") == F.col("fb.doi"))))
 
     def run(batches):
         for batch in batches:
@@ -313,9 +339,8 @@ def compared(cands: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 t = title_match(x["title"], y["title"], x["cut"], y["cut"])
                 n = min(sum(w not in STOP for w in f["title"].split()) for f in (x, y))
-                out.append(
-                    (a, b, t, n < 4, x["tag"] == y["tag"], people_match(x["people"], y["people"]), year_match(x["year"], y["year"]), doi_match(x["doi"], y["doi"]), gist_match(x["gist"], y["gist"]))
-                )
+                g = gist_match(x["text"], y["text"]) if t != "other" and "text" in x else "none"
+                out.append((a, b, t, n < 4, x["tag"] == y["tag"], people_match(x["people"], y["people"]), year_match(x["year"], y["year"]), doi_match(x["doi"], y["doi"]), g))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in COMPARED.split(", ")]
