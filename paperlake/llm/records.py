@@ -31,7 +31,7 @@ PART = re.compile(r"(?:[\s:,;.\-–(]+(?:part|pt\.?|no\.?|volume|vol\.?|chapter)
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 EMPTY = re.compile(r"^\W*(?:null|none|n/?a|nan|untitled|unknown|no title|title|\[no title\]|-+|\?+)?\W*$", re.I)
 
-FORM = "no long, side int, title string, cut boolean, tag string, people array<string>, year int, doi string, text_hash long, keys array<long>"
+FORM = "no long, side int, title string, cut boolean, tag string, people array<string>, year int, doi string, text_hash long, keys array<long>, sign array<long>"
 
 _LAST = re.compile(r"[^\W_]+(?=\W*$)")
 
@@ -115,32 +115,46 @@ def keys_of(title: str, tag: str, people: list[str], doi: str | None) -> list[in
     A title's content words are ordered by their length, then by a hash. Each
     three of its first four are a key, so two titles that differ in any one
     word share one whatever their length: the first three of the words in
-    common are among the first four of both. The first two words as typed, in
-    any order, are a key with each author, which survives changes at the end;
-    a title of fewer than four words has its set of words and each word with
-    each author. The order hangs on the words alone, so keys are the same in
-    any corpus. Equal hashes of different keys cost a comparison, no more.
+    common are among the first four of both. The first four words as typed are
+    a key, and the first two, in any order, with each author, which survive a
+    cut end. A title of fewer than four words, which says little, has keys
+    with authors only, by each word too. The order hangs on the words alone, so keys are the same
+    in any corpus. Equal hashes of different keys cost a comparison, no more.
+    A DOI's key is odd, the others are even.
     """
     hashed, out = xxhash.xxh64_intdigest, set()
-    h = lambda *x: hashed("|".join(x)) - (1 << 63)
+    h = lambda *x: (hashed("|".join(x)) & ~1) - (1 << 63)
     words = [w for w in title.split() if w not in STOP] or title.split()
     if words:
         best = sorted(set(words), key=lambda w: (-len(w), zlib.crc32(w.encode())))[:4]
         if len(best) == 4:
             for i in range(4):
                 out.add(h("r", tag, *sorted(best[:i] + best[i + 1 :])))
-            first = [" ".join(sorted(words[:2]))]
-        else:
-            out.add(h("r", tag, *sorted(best)))
-            first = best
+            out.add(h("a", tag, *words[:4]))
+        first = [" ".join(sorted(words[:2]))] + (best if len(best) < 4 else [])
         for f in first:
             start = f"s|{tag}|{f}|"
-            out.update(hashed(start + p) - (1 << 63) for p in people)
+            out.update((hashed(start + p) & ~1) - (1 << 63) for p in people)
     if doi:
-        out.add(h("d", doi))
+        out.add(h("d", doi) | 1)
     return sorted(out)
 
 
+#: Titles are near or one the beginning of the other only if at most this many bits of one's signature are not in the other's:
+#: three slight differences of at most three pairs of letters each.
+BITS = 9
+
+
+def signature(title: str) -> list[int]:
+    """Which pairs of neighbouring letters stand in a title without its spaces, hashed to 128 bits in two numbers."""
+    t = title.replace(" ", "")
+    bits = 0
+    for i in {(ord(a) * 37 + ord(b)) & 127 for a, b in zip(t, t[1:])}:
+        bits |= 1 << i
+    low, high = bits & (1 << 64) - 1, bits >> 64
+    return [x - (x >> 63 << 64) for x in (low, high)]
+
+
 def forms(
     df: DataFrame, side: int, no: str, title: str, people: str, date: str, doi: str, common: frozenset[str], text: str | None = None
 ) -> DataFrame:
@@ -170,6 +184,7 @@ def forms(
                     pa.array(dois, pa.string()),
                     b.column(5),
                     pa.array([keys_of(t[0], t[2], p, d) for t, p, d in zip(titles, who, dois)], pa.list_(pa.int64())),
+                    pa.array([signature(t[0]) for t in titles], pa.list_(pa.int64())),
                 ],
                 [x.split()[0] for x in FORM.split(", ")],
             )
@@ -182,7 +197,7 @@ def forms(
 
 
 def distinct_forms(rows: DataFrame) -> DataFrame:
-    """no, side, rep, keys of each row of FORM: copies are compared once.
+    """no, side, rep, keys, sign of each row of FORM: copies are compared once.
 
     ``rep`` is the smallest number of the rows of one form and side, which
     alone keeps its keys; a row with neither title nor DOI is no copy of another. The counts are combined before the shuffle; a form
@@ -193,8 +208,8 @@ def distinct_forms(rows: DataFrame) -> DataFrame:
     first = rows.groupBy(*f).agg(F.min("no").alias("least"))
     says = (F.col("title") != "") | F.col("doi").isNotNull()
     rep = F.when(F.col("says"), F.col("least")).otherwise(F.col("no"))
-    return rows.select("no", "side", "keys", says.alias("says"), *f).join(first, ["f1", "f2"]).select(
-        "no", "side", rep.alias("rep"), F.when(F.col("no") == rep, F.col("keys")).alias("keys")
+    return rows.select("no", "side", "keys", "sign", says.alias("says"), *f).join(first, ["f1", "f2"]).select(
+        "no", "side", rep.alias("rep"), F.when(F.col("no") == rep, F.col("keys")).alias("keys"), F.when(F.col("no") == rep, F.col("sign")).alias("sign")
     )
 
 
@@ -205,17 +220,23 @@ SLICE = 512
 def pairs(marked: DataFrame, across: bool) -> tuple[DataFrame, DataFrame]:
     """(distinct (a, b) that share a key, the numbers in any of them).
 
-    ``across``: a of side 0 and b of side 1, else a < b. The left side of a key
-    of many rows is dealt to slices, the right side repeated to each, so no
-    task meets more than SLICE rows of it times all.
+    ``across``: a of side 0 and b of side 1, else a < b. Pairs by a key of the
+    title whose signatures show that the titles are neither near nor one the
+    beginning of the other are left out; without a common DOI no such pair is
+    ever one paper. The left side of a key of many rows is dealt to slices,
+    the right side repeated to each, so no task meets more than SLICE rows of
+    it times all.
     """
-    keys = marked.where("no = rep").select("no", "side", F.explode("keys").alias("k"))
+    keys = marked.where("no = rep").select("no", "side", "sign", F.explode("keys").alias("k"))
     counts = keys.groupBy("k").agg(F.count("*").alias("n"), F.max("side").alias("hi"), F.min("side").alias("lo"))
     several = cut(keys.join(counts.where("lo < hi" if across else "n > 1").select("k", "n"), "k"))
     slices = F.ceil(F.col("n") / SLICE).cast("int")
-    a = several.select(F.col("no").alias("a"), F.col("side").alias("sa"), "k", F.pmod(F.xxhash64("no"), slices).cast("int").alias("s"))
-    b = several.select(F.col("no").alias("b"), F.col("side").alias("sb"), "k", F.explode(F.sequence(F.lit(0), slices - 1)).alias("s"))
+    a = several.select(F.col("no").alias("a"), F.col("side").alias("sa"), F.col("sign").alias("x"), "k", F.pmod(F.xxhash64("no"), slices).cast("int").alias("s"))
+    b = several.select(F.col("no").alias("b"), F.col("side").alias("sb"), F.col("sign").alias("y"), "k", F.explode(F.sequence(F.lit(0), slices - 1)).alias("s"))
     both = a.where("sa = 0").join(b.where("sb = 1"), ["k", "s"]) if across else a.join(b, ["k", "s"]).where("a < b")
+    beyond = lambda p, q: sum(F.bit_count(F.col(p)[i].bitwiseAND(F.bitwise_not(F.col(q)[i]))) for i in (0, 1))
+    alike = F.least(beyond("x", "y"), beyond("y", "x")) <= BITS
+    both = both.where((F.col("k") % 2 != 0) | alike)
     return both.select("a", "b").distinct(), several.select("side", "no").distinct()
 
 
