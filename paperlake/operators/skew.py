@@ -53,3 +53,20 @@ def lookup(
     return a.join(b, (F.col(key) == F.col(right_key)) & (F.col("_salt") == F.col("_rsalt")), how).drop(
         "_salt", "_rsalt"
     )
+
+
+#: Rows of one key that one task of ``dealt`` sets against all rows of the key.
+SLICE = 512
+
+
+def dealt(df: DataFrame, keys: list[str], by: str, rows: int = SLICE) -> tuple[DataFrame, DataFrame]:
+    """``df`` twice for a join with itself on ``keys`` and ``_slice``; keys of one row are left out.
+
+    The first has each row in one of its key's slices (by a hash of ``by``), the second in
+    all of them, so a key of n rows is n / ``rows`` tasks' work instead of one's.
+    """
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    some = df.join(n, keys).withColumn("_slices", F.ceil(F.col("_n") / rows).cast("int")).drop("_n")
+    left = some.withColumn("_slice", F.pmod(F.xxhash64(by), F.col("_slices")).cast("int")).drop("_slices")
+    right = some.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    return left, right

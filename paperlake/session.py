@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -32,12 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests) a temporary one."""
+    """The folder of this application below ``spark.checkpoint.dir``, which all executors must share.
+
+    Unset, it is an error on a cluster; a local master, which has one machine only, gets a temporary folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), f"paperlake-{os.getpid()}")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="paperlake-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/paperlake/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,11 +52,31 @@ def cut(df: DataFrame) -> DataFrame:
 
     Used where several branches or rounds start from one costly result. The
     columnar file is smaller than a checkpoint of rows and, unlike a cache or
-    a local checkpoint, outlives the executors that made it.
+    a local checkpoint, outlives the executors that made it. ``clean`` deletes
+    all of them; it is also called when the driver ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/paperlake/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if not _cleaned:
+        atexit.register(_at_exit)
+        _cleaned.append(True)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_cleaned: list[bool] = []
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by now
+        if spark := SparkSession.getActiveSession():
+            clean(spark)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what ``cut`` wrote for this application; results not yet computed can no longer be."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -188,3 +188,40 @@ def test_store(spark, tmp_path):
     old = spark.createDataFrame([("k", 1, "old"), ("j", 2, "old")], "name string, created int, v string")
     new = spark.createDataFrame([("k", 9, "new")], "name string, created int, v string")
     assert sorted(map(tuple, store.upsert(old, new, ["name"], ["created"]).select("name", "created", "v").collect())) == [("j", 2, "old"), ("k", 1, "new")]
+
+
+def test_dealt(spark):
+    from paperlake.operators.skew import dealt
+
+    df = spark.createDataFrame([("hot", i) for i in range(30)] + [("one", 99), ("two", 100), ("two", 101), (None, 5), (None, 6)], "k string, no long")
+    a, b = dealt(df, ["k"], "no", rows=4)
+    got = sorted((r.x, r.y) for r in a.withColumnRenamed("no", "x").join(b.withColumnRenamed("no", "y"), ["k", "_slice"]).where("x < y").select("x", "y").collect())
+    assert got == [(x, y) for x in range(30) for y in range(x + 1, 30)] + [(100, 101)]
+    assert a.groupBy("k", "_slice").count().where("count > 15").count() == 0
+
+
+def test_shared_folder(spark, monkeypatch):
+    from paperlake import session
+
+    path = session.shared_dir(spark)
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    df = session.cut(spark.range(3))
+    assert df.count() == 3 and df.inputFiles()[0].startswith(path.replace("file://", "file:///").replace("file:////", "file:///"))
+    monkeypatch.setattr(session, "shared_dir", lambda _: path + "-mine")
+    df = session.cut(spark.range(3))
+    session.clean(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0])
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from paperlake import session
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", applicationId="a"))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(fake)
+    fake.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        session.shared_dir(fake)
