@@ -25,18 +25,21 @@ pair; two entries of one paper are never the same; rows with a null
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.llm import names as N
+from paperlake.operators.skew import dealt
 from paperlake.session import cut, spread
 
 #: Given names with at least this share of all given parts are common; bounds them to 1 / share.
 COMMON_SHARE = 1e-4
 COMMON_LEAST = 5
-#: Names shorter than this are compared for equality only: one edit would make another name of them.
-RADIUS_FROM = 5
+#: In family names shorter than this only a swap or a letter typed twice counts; any other edit makes another name of them (Wang, Wong).
+SHORT = 5
 
 READ = "author_no long, paper_no long, kind string, family string, given string"
 
@@ -83,16 +86,14 @@ def radius_join(words: DataFrame) -> DataFrame:
     """(a, b), a <> b, of all pairs of ``words.w`` (distinct) at Damerau-Levenshtein distance 1."""
     n = F.length("w")
     deletions = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring("w", i + 1, n)))
-    cells = words.where(n >= RADIUS_FROM).select(
-        "w", F.explode(F.array_distinct(F.concat(F.array("w"), deletions))).alias("pivot")
-    )
+    cells = words.where(n >= 3).select("w", F.explode(F.array_distinct(F.concat(F.array("w"), deletions))).alias("pivot"))
     full = cells.groupBy("pivot").agg(F.collect_list("w").alias("ws")).where(F.size("ws") > 1)
     pairs = full.select(F.explode("ws").alias("a"), "ws").select("a", F.explode("ws").alias("b")).where("a < b").distinct()
 
     def run(batches):
         for b in batches:
             x, y = b.column(0).to_pylist(), b.column(1).to_pylist()
-            keep = [N.near(p, q) for p, q in zip(x, y)]
+            keep = [N.near(p, q) and (min(len(p), len(q)) >= SHORT or _slip(p, q)) for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p for p, k in zip(x, keep) if k], pa.string()), pa.array([q for q, k in zip(y, keep) if k], pa.string())], ["a", "b"]
             )
@@ -101,11 +102,17 @@ def radius_join(words: DataFrame) -> DataFrame:
     return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _slip(a: str, b: str) -> bool:
+    """Whether two near names differ by a swap of two letters or one letter typed twice."""
+    return sorted(a) == sorted(b) or re.sub(r"(.)\1", r"\1", a) == re.sub(r"(.)\1", r"\1", b)
+
+
 def canonical(words: DataFrame) -> DataFrame:
-    """(w, canon) of each of ``words`` (w, n): the most frequent name within the radius, followed up to three times.
+    """(w, canon) of each of ``words`` (w, n): the most frequent name within the radius, followed to the end.
 
     A name follows a neighbour only if that one is more frequent (at equal
-    counts: smaller), so the steps never turn back.
+    counts: smaller), so the steps never turn back. Each round doubles the
+    steps taken, until none is left.
     """
     links = radius_join(words.select("w"))
     weigh = words.select(F.col("w").alias("b"), "n")
@@ -120,18 +127,54 @@ def canonical(words: DataFrame) -> DataFrame:
             .alias("canon"),
         )
     )
-    out = step
-    for _ in range(2):
+    while True:
         on = step.select(F.col("w").alias("canon"), F.col("canon").alias("next"))
-        out = out.join(on, "canon").select("w", F.col("next").alias("canon"))
-    return out
+        further = cut(step.join(on, "canon").select("w", F.col("next").alias("canon"), (F.col("next") != F.col("canon")).alias("moved")))
+        step = further.select("w", "canon")
+        if further.where("moved").isEmpty():
+            return step
+
+
+class _Found:
+    """Persons by what a given part that fits theirs must have in common with it."""
+
+    def __init__(self):
+        self.at: dict[str, set[int]] = {}
+
+    @staticmethod
+    def _cuts(w: str) -> list[str]:
+        return ["D" + w, *("D" + w[:i] + w[i + 1 :] for i in range(len(w)))] if len(w) > 2 else []
+
+    def put(self, part: str, person: int) -> None:
+        w = part.rstrip(".")
+        if len(w) == 1:
+            keys = ["I" + w]
+        else:
+            full = N.NICKNAMES.get(w, "").split()
+            keys = ["N" + w, "L" + w[0], *("N" + f for f in full), *("L" + f[0] for f in full), *("S" + f[0] for f in N.SHORT.get(w, ())), *self._cuts(w)]
+            if part.endswith("."):
+                keys.append("A" + w[0])
+        for k in keys:
+            self.at.setdefault(k, set()).add(person)
+
+    def get(self, part: str) -> set[int]:
+        w = part.rstrip(".")
+        if len(w) == 1:
+            keys = ["I" + w, "L" + w, "S" + w]
+        else:
+            full = N.NICKNAMES.get(w, "").split()
+            keys = ["N" + w, *("N" + f for f in full), "I" + w[0], *("I" + f[0] for f in full), *("I" + f[0] for f in N.SHORT.get(w, ())), "A" + w[0], *self._cuts(w)]
+            if part.endswith("."):
+                keys.append("L" + w[0])
+        return set().union(*(self.at[k] for k in keys if k in self.at))
 
 
 def gather(forms: list[tuple[str, int]]) -> list[tuple[str, list[int], bool]]:
     """(form, candidate persons, sure) of each given form of one family, with its count.
 
     Fuller forms found persons; a later form joins the one it fits, which
-    takes its longer parts, or waits for the context if it fits several.
+    takes its longer parts, or waits for the context if it fits several. Only
+    persons that can fit by the first or second part are looked at.
     """
 
     def fullness(g: tuple[str, ...]):
@@ -139,13 +182,14 @@ def gather(forms: list[tuple[str, int]]) -> list[tuple[str, list[int], bool]]:
         return (sum(x > 1 for x in letters), len(g), sum(letters))
 
     people: list[list[str]] = []
+    first, second = _Found(), _Found()
     out = []
     ordered = sorted(((tuple(f.split()), n, f) for f, n in forms), key=lambda x: (*[-v for v in fullness(x[0])], -x[1], x[2]))
     for g, _, text in ordered:
         if not g:
             out.append((text, list(range(len(people))), len(people) == 1))
             continue
-        fit = [(N.fits(tuple(p), g), i) for i, p in enumerate(people)]
+        fit = [(N.fits(tuple(people[i]), g), i) for i in sorted(first.get(g[0]))]
         best = max((f for f, _ in fit), default=0)
         hits = [i for f, i in fit if f == best and f > 0]
         if len(hits) == 1:
@@ -155,12 +199,17 @@ def gather(forms: list[tuple[str, int]]) -> list[tuple[str, list[int], bool]]:
                     p.append(part)
                 elif len(part.rstrip(".")) > len(p[i].rstrip(".")) and part.rstrip(".") not in N.NICKNAMES:
                     p[i] = part
+            for found, part in zip((first, second), p):
+                found.put(part, hits[0])
             out.append((text, hits, True))
         elif hits:
             out.append((text, hits, False))
         else:
-            middle = [i for i, p in enumerate(people) if (len(p) > 1 and N.fits(tuple(p[1:]), g)) or N.loosely(tuple(p), g)]
+            near = sorted(first.get(g[0]) | second.get(g[0]))
+            middle = [i for i in near if (len(p := people[i]) > 1 and N.fits(tuple(p[1:]), g)) or N.loosely(tuple(p), g)]
             people.append(list(g))
+            for found, part in zip((first, second), g):
+                found.put(part, len(people) - 1)
             out.append((text, [len(people) - 1, *middle], not middle))
     return out
 
@@ -214,10 +263,11 @@ def entities(entries: DataFrame) -> DataFrame:
     sure = settled.where("sure").select("author_no", "paper_no", "canon", F.element_at("persons", 1).alias("person"))
     open_ = settled.where("NOT sure").select("author_no", "paper_no", "canon", "given", "persons")
 
-    # co-authors of an entry: the other families of its paper (a paper's list of authors is one bounded row)
+    # co-authors of an entry, the other families of its paper, for the families that have open entries only
+    asking = open_.select("canon").distinct()
     fams = people.groupBy("paper_no").agg(F.collect_set("canon").alias("with"))
     company = lambda df: df.join(fams, "paper_no").select("*", F.explode("with").alias("c")).where("c <> canon").drop("with")
-    known = company(sure).groupBy("canon", "c", "person").agg(F.count("*").alias("times"))
+    known = company(sure.join(asking, "canon", "left_semi")).groupBy("canon", "c", "person").agg(F.count("*").alias("times"))
     asked = company(open_).select("author_no", "canon", "c", "persons")
     votes = (
         asked.join(known, ["canon", "c"])
@@ -262,14 +312,24 @@ def entities(entries: DataFrame) -> DataFrame:
     return persons.unionByName(spelt_id).unionByName(short_id)
 
 
+def classes(entries: DataFrame) -> DataFrame:
+    """author_no, class_no (the smallest author_no of its entity), entries (of the class) of each entry that names somebody."""
+    who = cut(entities(entries).select("author_no", "entity"))
+    sizes = who.groupBy("entity").agg(F.min("author_no").alias("class_no"), F.count("*").alias("entries"))
+    return who.join(sizes, "entity").select("author_no", "class_no", "entries")
+
+
 def pairs(entries: DataFrame) -> DataFrame:
-    """author_no_a < author_no_b of entries of one entity, in different papers, whose names differ."""
-    who = entities(entries).join(entries.select("author_no", "name"), "author_no")
-    who = cut(who)
-    a = who.select("entity", F.col("author_no").alias("author_no_a"), F.col("name").alias("na"), F.col("paper_no").alias("pa"))
-    b = who.select("entity", F.col("author_no").alias("author_no_b"), F.col("name").alias("nb"), F.col("paper_no").alias("pb"))
+    """author_no_a < author_no_b of entries of one entity, in different papers, whose names differ.
+
+    An entity of many entries is dealt to several tasks.
+    """
+    who = cut(entities(entries).join(entries.select("author_no", "name"), "author_no"))
+    left, right = dealt(who, ["entity"], "author_no")
+    a = left.select("entity", "_slice", F.col("author_no").alias("author_no_a"), F.col("name").alias("na"), F.col("paper_no").alias("pa"))
+    b = right.select("entity", "_slice", F.col("author_no").alias("author_no_b"), F.col("name").alias("nb"), F.col("paper_no").alias("pb"))
     return (
-        a.join(b, "entity")
+        a.join(b, ["entity", "_slice"])
         .where("author_no_a < author_no_b AND NOT (na <=> nb) AND NOT (pa <=> pb)")
         .select("author_no_a", "author_no_b")
     )

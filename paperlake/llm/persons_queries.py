@@ -12,5 +12,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return persons.pairs(table(spark, d, "paper_authors"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return persons.classes(table(spark, d, "paper_authors"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
 SQL: dict[str, str] = {}

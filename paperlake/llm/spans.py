@@ -15,7 +15,8 @@
    gives one key of 128 bits over its text; from a shorter path, which may
    still lie inside a longer shared span, come the keys of all windows of SPAN
    characters around it. Texts with a common key share a span.
-6. Of keys with the same set of texts one is kept, and its texts are paired.
+6. Of keys with the same set of texts one is kept, and its texts are paired,
+   those of a key of many texts in several tasks.
 
 A text repeated any number of times, a boilerplate shorter than SPAN or a hot
 token makes no pairs, only rows of counts combined before the shuffle.
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlake.operators.skew import dealt
 from paperlake.session import cut, spread
 
 SPAN = 200
@@ -328,21 +330,17 @@ def pairs(docs: DataFrame, span: int = SPAN) -> DataFrame:
     one = sets.where("n > 1").groupBy("n", "x1", "x2").agg(F.min(F.struct("k1", "k2")).alias("k"))
     chosen = one.select("k.k1", "k.k2")
     rows = cut(once.join(chosen, ["k1", "k2"], "left_semi").select("k1", "k2", "doc_id"))
-    a = rows.withColumnRenamed("doc_id", "a")
-    b = rows.withColumnRenamed("doc_id", "b")
-    linked = a.join(b, ["k1", "k2"]).where("a < b").select("a", "b").distinct()
+    left, right = dealt(rows, ["k1", "k2"], "doc_id")
+    both = left.withColumnRenamed("doc_id", "a").join(right.withColumnRenamed("doc_id", "b"), ["k1", "k2", "_slice"])
+    linked = both.where("a < b").select("a", "b").distinct()
 
     # copies of the two texts, and copies of one text among each other
     ma = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("da"))
     mb = members.select(F.col("rep").alias("b"), F.col("doc_id").alias("db"))
     across = linked.join(ma, "a").join(mb, "b").select("da", "db")
-    many = members.where("copies > 1")
-    same = (
-        many.select("rep", F.col("doc_id").alias("da"))
-        .join(many.select("rep", F.col("doc_id").alias("db")), "rep")
-        .where("da < db")
-        .select("da", "db")
-    )
+    left, right = dealt(members.where("copies > 1").select("rep", "doc_id"), ["rep"], "doc_id")
+    both = left.withColumnRenamed("doc_id", "da").join(right.withColumnRenamed("doc_id", "db"), ["rep", "_slice"])
+    same = both.where("da < db").select("da", "db")
     return across.unionByName(same).select(
         F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b")
     )

@@ -69,6 +69,54 @@ def test_radius_join(spark):
     words = ["smithson", "smihtson", "smithso", "smithsonn", "amithson", "jones", "jonse", "other", "abc", "abd"]
     got = {(r.a, r.b) for r in persons.radius_join(spark.createDataFrame([(w,) for w in words], "w string")).collect()}
     assert got == {(a, b) for a in words for b in words if a != b and min(len(a), len(b)) >= 5 and dl(a, b) <= 1}
+    words = ["wang", "wnag", "wong", "chen", "chenn", "hen", "li", "il"]
+    got = {(r.a, r.b) for r in persons.radius_join(spark.createDataFrame([(w,) for w in words], "w string")).collect()}
+    assert got == {("wang", "wnag"), ("wnag", "wang"), ("chen", "chenn"), ("chenn", "chen")}
+
+
+def test_canonical_to_the_end(spark):
+    chain = ["anderson", "andersen", "anderse", "andesse", "andessx", "andesxx", "anderxx"][:6]
+    words = [(w, 100 - i) for i, w in enumerate(chain)]
+    got = dict(map(tuple, persons.canonical(spark.createDataFrame(words, "w string, n long")).collect()))
+    assert set(got) == set(chain) and set(got.values()) == {"anderson"}
+
+
+FORMS = st.lists(st.sampled_from("j jo john jon jhon johannes hans h. h tho. thomas tom tomasz bob robert rob r b william bill w. ed ted edward t e a a. anna ania".split()), max_size=3)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(FORMS.map(" ".join), unique=True, max_size=14), st.randoms())
+def test_gather_looks_at_all_that_fit(forms, rnd):
+    """The index of persons leaves none out: the same as looking at every person each time."""
+    counted = [(f, rnd.randint(1, 5)) for f in forms]
+    got = persons.gather(counted)
+
+    class Every(persons._Found):
+        def get(self, part):
+            return set().union(*self.at.values())
+
+    old, persons._Found = persons._Found, Every
+    try:
+        want = persons.gather(counted)
+    finally:
+        persons._Found = old
+    assert got == want
+
+
+def test_gather_of_many_forms_is_fast():
+    import itertools
+    import time
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    forms = [("".join(x) + "on" + y, 1) for x, y in itertools.product(itertools.product(letters, letters[:12], "aeiou"), ("", " k"))]
+    at = time.perf_counter()
+    assert len(persons.gather(forms)) == len(forms) > 3000
+    assert time.perf_counter() - at < 20
+
+
+def test_classes(spark):
+    df = spark.createDataFrame([(3, 1, 0, "Smithson, Jane", None, None, None, "", 1), (5, 2, 0, "Jane Smithson", None, None, None, "", 1), (9, 2, 1, "et al.", None, None, None, "", 1)], ENTRY)
+    assert sorted(map(tuple, persons.classes(df).collect())) == [(3, 3, 2), (5, 3, 2)]
 
 
 ENTRY = "author_no long, paper_no long, author_pos int, name string, given string, family string, orcid string, canon string, entity int"
