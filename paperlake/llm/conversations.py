@@ -9,8 +9,10 @@ consecutive times; the automaton runs inside each block and once more over
 the blocks' first and last symbols. No conversation, however long, is
 gathered in one task.
 
-Defined results: copies (same ``id``) count once, the earliest loaded one;
-null ids are no copies of each other; messages of a null or unknown
+Defined results: copies (same ``id``) count once, the earliest loaded one (of
+equally early ones the least row, null times last); null ids are no copies of
+each other, and such messages are turns like any other, after those with an
+id at equal times; messages of a null or unknown
 conversation belong to none; a conversation without messages is ``empty``.
 Equal times put system before user before assistant, then the smaller id.
 """
@@ -34,7 +36,7 @@ PLACEHOLDERS = (
     "|empty (?:answer|response|reply|message)|(?:answer|response|reply) (?:missing|pending|unavailable)"
     "|loading|thinking|generating|pending|error|failed|failure|timeout"
 )
-# How an error notice begins; what follows may be anything on its one line.
+# How an error notice begins; what follows may be anything without a second paragraph.
 ERROR_STARTS = (
     "\\[(?:error|exception|failed|failure|timeout)\\]|(?:internal |server |fatal |api |network )*(?:error|exception) ?[:(\\[0-9]"
     "|traceback\\b|sorry, (?:something|an error|there was)|oops\\b|something went wrong|an (?:unexpected )?error (?:has )?occurred"
@@ -43,8 +45,8 @@ ERROR_STARTS = (
     "(?:interrupted|failed|aborted|cancelled|cut off|timed out)|(?:service|model|server) (?:is )?(?:currently )?(?:unavailable|overloaded|timed out)"
     "|upstream (?:model )?(?:error|timed out)|timed out (?:after|while)|failed to (?:generate|fetch|load|get|produce)|http(?: error)? [45][0-9][0-9]"
 )
-#: An error notice is short and has no second paragraph.
-NOTICE_CHARS = 160
+#: Blocks of a long conversation; each has about the same number of points.
+BLOCKS = 64
 
 
 def speaker(role: Column) -> Column:
@@ -64,12 +66,12 @@ def no_answer(content: Column) -> Column:
     """True for blank content, a placeholder or a mere error notice."""
     t = F.lower(F.regexp_replace(content, f"^[\\s\\p{{Z}}\\p{{C}}{INVISIBLE}]+|[\\s\\p{{Z}}\\p{{C}}{INVISIBLE}]+$", ""))
     hollow = t.rlike(f"^[\\p{{P}}\\p{{S}}]*(?:{PLACEHOLDERS})?[\\p{{P}}\\p{{S}}]*$")
-    notice = (F.length(t) <= NOTICE_CHARS) & ~t.contains("\n\n") & t.rlike(f"^(?:[^\\p{{L}}\\p{{N}}\\[]*)(?:{ERROR_STARTS})")
+    notice = ~t.contains("\n\n") & t.rlike(f"^(?:[^\\p{{L}}\\p{{N}}\\[]*)(?:{ERROR_STARTS})")
     return blank(content) | hollow | notice
 
 
-def classified(messages: DataFrame) -> DataFrame:
-    """One row per message: id, conversation_id, ts, speaker, kind, loaded_at.
+def classified(messages: DataFrame, *more: str) -> DataFrame:
+    """One row per message: id, conversation_id, ts, kind, loaded_at, and the columns ``more`` of the same copy.
 
     ``kind``: ``u`` user turn, ``b`` blank user turn, ``a`` answer, ``x``
     passed over, ``?`` no readable speaker.
@@ -87,8 +89,9 @@ def classified(messages: DataFrame) -> DataFrame:
         F.col("conversation_id"),
         F.unix_micros(F.col("timestamp").cast("timestamp")).alias("ts"),
         kind.alias("kind"),
+        *more,
     )
-    cols = ["loaded_at", "conversation_id", "ts", "kind"]
+    cols = ["loaded_at", "conversation_id", "ts", "kind", *more]
     one = (
         small.where(F.col("id").isNotNull())
         .groupBy("id")
@@ -99,28 +102,20 @@ def classified(messages: DataFrame) -> DataFrame:
 
 
 def _blocks(points: DataFrame, size: int) -> DataFrame:
-    """``points`` (conversation_id, ts, ...) with ``block``: consecutive times, about ``size`` points or fewer.
+    """``points`` (conversation_id, ts, ...) with ``block``: consecutive times.
 
-    A conversation's span of time is cut at equal steps; times that crowd
-    one step give a larger block, which is sorted on disk, not held.
+    A conversation of more than ``size`` points is cut at BLOCKS quantiles of
+    its times, so each block has about the same number of points however they
+    crowd; equal times stay together.
     """
-    span = points.groupBy("conversation_id").agg(
-        F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1")
-    )
-    long = (
-        span.where(F.col("n") > size)
-        .withColumn("parts", F.ceil(F.col("n") / size))
-        .select(
-            F.col("conversation_id").alias("_c"),
-            "t0",
-            F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0") + 1) / F.col("parts"))).alias("step"),
-        )
-    )
-    # at most one row per `size` points is long; the join is the optimizer's to plan, with the runtime skew split
-    joined = points.join(long, F.col("conversation_id") == F.col("_c"), "left")
-    return joined.withColumn(
-        "block", F.coalesce(F.floor((F.col("ts") - F.col("t0")) / F.col("step")), F.lit(0)).cast("long")
-    ).drop("_c", "t0", "step")
+    long = points.groupBy("conversation_id").agg(F.count("*").alias("n")).where(F.col("n") > size).select(F.col("conversation_id").alias("_c"))
+    # one sketch per long conversation, combined before the shuffle; at most one row per `size` points
+    cuts = F.percentile_approx("ts", F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)]), 10 * BLOCKS)
+    bounds = points.join(long, F.col("conversation_id") == F.col("_c")).groupBy("_c").agg(F.array_distinct(cuts).alias("bounds"))
+    # the join is the optimizer's to plan, with the runtime skew split
+    joined = points.join(bounds, F.col("conversation_id") == F.col("_c"), "left")
+    block = F.size(F.filter("bounds", lambda b: b < F.col("ts")))
+    return joined.withColumn("block", F.when(F.col("bounds").isNull(), 0).otherwise(block).cast("long")).drop("_c", "bounds")
 
 
 def faults(conversations: DataFrame, messages: DataFrame, block: int = 20_000) -> DataFrame:
@@ -186,21 +181,15 @@ def rebuilt(conversations: DataFrame, messages: DataFrame, block: int = 20_000)
     bad = faults(conversations, messages, block).select("conversation_id")
     good = conversations.where(F.col("id").isNotNull()).select(F.col("id").alias("conversation_id")).distinct()
     good = good.join(bad, "conversation_id", "left_anti")
-    kept = classified(messages).where(F.col("kind").isin("u", "a")).join(good, "conversation_id", "left_semi")
-    placed = _blocks(kept.select("conversation_id", "ts", "kind", "id", "loaded_at"), block)
-    w = Window.partitionBy("conversation_id", "block").orderBy("ts", F.col("kind").desc(), "id")
+    kept = classified(messages, "content").where(F.col("kind").isin("u", "a")).join(good, "conversation_id", "left_semi")
+    placed = _blocks(kept.select("conversation_id", "ts", "kind", "id", "content"), block)
+    w = Window.partitionBy("conversation_id", "block").orderBy("ts", F.col("kind").desc(), F.col("id").asc_nulls_last(), "content")
     v = Window.partitionBy("conversation_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("conversation_id", "block").agg(F.count("*").alias("n"))
     start = sizes.select("conversation_id", "block", F.coalesce(F.sum("n").over(v), F.lit(0)).alias("start"))
-    turns = (
-        placed.withColumn("k", F.row_number().over(w))
-        .join(start, ["conversation_id", "block"])
-        .select("id", "loaded_at", "conversation_id", (F.col("start") + F.col("k")).alias("turn"), "kind", "ts")
-    )
-    text = messages.select("id", "loaded_at", "content").groupBy("id", "loaded_at").agg(F.min("content").alias("content"))
-    return turns.join(text, ["id", "loaded_at"]).select(
+    return placed.withColumn("k", F.row_number().over(w)).join(start, ["conversation_id", "block"]).select(
         "conversation_id",
-        "turn",
+        (F.col("start") + F.col("k")).alias("turn"),
         F.when(F.col("kind") == "u", "user").otherwise("assistant").alias("speaker"),
         "ts",
         "content",

@@ -25,13 +25,13 @@ _BASE = f"""
 WITH m0 AS (SELECT id, conversation_id, "timestamp" ts, content, loaded_at,
   regexp_replace(lower(role), '[^a-z]', '', 'g') r,
   lower(regexp_replace(content, '^{_SPACE}+|{_SPACE}+$', '', 'g')) t FROM messages
-  QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1),
+  QUALIFY id IS NULL OR row_number() OVER (PARTITION BY id ORDER BY loaded_at NULLS LAST) = 1),
 m AS (SELECT id, conversation_id, ts, content,
   CASE WHEN r IN ({_in(C.USER_ROLES)}) THEN CASE WHEN coalesce(t, '') = '' THEN 'b' ELSE 'u' END
   WHEN r IN ({_in(C.SYSTEM_ROLES)}) THEN 'x'
   WHEN r IN ({_in(C.ASSISTANT_ROLES)}) THEN CASE WHEN coalesce(t, '') = ''
     OR regexp_matches(t, '^[\\p{{P}}\\p{{S}}]*(?:{C.PLACEHOLDERS})?[\\p{{P}}\\p{{S}}]*$')
-    OR (length(t) <= {C.NOTICE_CHARS} AND NOT contains(t, chr(10) || chr(10))
+    OR (NOT contains(t, chr(10) || chr(10))
       AND regexp_matches(t, '^(?:[^\\p{{L}}\\p{{N}}\\[]*)(?:{C.ERROR_STARTS})')) THEN 'x' ELSE 'a' END
   ELSE '?' END k FROM m0 WHERE conversation_id IS NOT NULL),
 o AS (SELECT *, lag(k) OVER w p, lead(k) OVER w n FROM m WHERE k IN ('u', 'b', 'a') AND ts IS NOT NULL
@@ -49,7 +49,7 @@ SQL = {
     "p5_found": _BASE + "SELECT conversation_id, fault FROM g WHERE fault IS NOT NULL",
     "p5_turns": _BASE
     + """SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY ts,
-  CASE k WHEN 'a' THEN 1 ELSE 0 END, id) AS turn,
+  CASE k WHEN 'a' THEN 1 ELSE 0 END, id NULLS LAST, content) AS turn,
   CASE k WHEN 'u' THEN 'user' ELSE 'assistant' END AS speaker, epoch_us(ts) AS ts, content
 FROM m WHERE k IN ('u', 'a') AND conversation_id IN (SELECT conversation_id FROM g WHERE fault IS NULL)""",
 }

@@ -2,12 +2,18 @@
 
 Natural token shares s and target weights m span the temperature family
 w(t) ~ s * (m / s) ** t: t = 0 keeps the corpus as it is, t = 1 meets the
-targets. For a wanted size the largest t in [0, 1] is bisected at which no
-source needs more than ``max_repeats`` passes; without one, t = 1 and the
-size is the largest at which all targets can be met. The weights become token
-budgets; each source is laid out as permuted blocks (one pass over its
-documents in an order drawn anew by hashing), whole blocks first, then the
-part of a last block that fits the rest of the budget.
+targets. t is bisected in [0, 1]:
+
+- against the limit of repeats: the largest t at which no source needs more
+  than ``max_repeats`` passes for a mixture of the wanted size, or, without
+  one, for a mixture at least as large as its sources;
+- to a target entropy of the weights, stated as a point between the entropies
+  of the natural shares and of the targets.
+
+Without a wanted size the mixture is the largest whose weights can all be
+met. The weights become token budgets, and each budget is laid out in blocks:
+block 0 is one pass over the source's documents, block 1 another in an order
+of its own, and so on; the last block ends where the budget does.
 
 Defined results: sources are compared trimmed and in lower case; documents of
 no or no listed source, of empty or null text stay out; a source without
@@ -41,8 +47,31 @@ def entropy(w: dict[str, float]) -> float:
     return -sum((x * math.log(x) for x in w.values() if x > 0), 0.0)
 
 
-def plan(sizes: dict[str, int], target: dict[str, float], repeats: dict[str, int], wanted: float | None = None) -> tuple[dict[str, float], float, float]:
-    """(weight of each source, total tokens, exponent t)."""
+#: Steps in which [0, 1] is looked through before the bisection, as limits need not be met on one side only.
+GRID = 1000
+
+
+def bisected(ok) -> float | None:
+    """The largest t in [0, 1] with ``ok(t)`` as far as GRID tells its side from the other, to a double's precision; null if there is none."""
+    if ok(1.0):
+        return 1.0
+    low = next((k / GRID for k in range(GRID - 1, -1, -1) if ok(k / GRID)), None)
+    if low is None:
+        return None
+    high = low + 1 / GRID
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if ok(mid) else (low, mid)
+    return low
+
+
+def plan(
+    sizes: dict[str, int], target: dict[str, float], repeats: dict[str, int], wanted: float | None = None, evenness: float = 1.0
+) -> tuple[dict[str, float], float, float]:
+    """(weight of each source, total tokens, exponent t).
+
+    A size that no t reaches gives the largest mixture of all t looked at.
+    """
     total = sum(sizes.values())
     share = {s: n / total if total else 0.0 for s, n in sizes.items()}
 
@@ -50,28 +79,31 @@ def plan(sizes: dict[str, int], target: dict[str, float], repeats: dict[str, int
         w = weights(share, target, t)
         return min((sizes[s] * repeats[s] / x for s, x in w.items() if x > 0), default=0.0)
 
-    if wanted is None or room(1.0) >= wanted:
-        return weights(share, target, 1.0), min(wanted or math.inf, room(1.0)), 1.0
-    low, high = 0.0, 1.0
-    if room(low) < wanted:
-        return weights(share, target, low), room(low), low
-    for _ in range(60):  # the interval is below a double's precision then
-        mid = (low + high) / 2
-        low, high = (mid, high) if room(mid) >= wanted else (low, mid)
-    return weights(share, target, low), wanted, low
+    def at(t: float) -> float:
+        return entropy(weights(share, target, t))
+
+    size = sum(sizes[s] for s in sizes if target[s] > 0) if wanted is None else wanted
+    most = 1.0
+    if evenness < 1:
+        goal = at(0.0) + (at(1.0) - at(0.0)) * evenness
+        most = bisected(lambda t: at(t) <= goal if at(1.0) > at(0.0) else at(t) >= goal) or 0.0
+    t = bisected(lambda x: room(x * most) >= size)
+    t = max((k / GRID for k in range(GRID + 1)), key=lambda x: room(x * most)) * most if t is None else t * most
+    return weights(share, target, t), room(t) if wanted is None else min(wanted, room(t)), t
 
 
 def mix(
     docs: DataFrame,
     catalog: DataFrame,
     wanted: float | None = None,
+    evenness: float = 1.0,
     seed: int = 17,
     tokenizer: str = T.TOKENIZER,
     folder: str = T.TOKENIZER_DIR,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, shares).
 
-    documents: doc_id, source_name, tokens, times (how often it occurs, also 0).
+    documents: source_name, block, position (from 0, in the block's own order), doc_id, tokens.
     shares: source_name, mix_weight, max_repeats, documents, tokens, budget,
     exponent, mixed_tokens, share, most_times, entropy.
     """
@@ -85,41 +117,47 @@ def mix(
     listed = named.join(cat.select("source_name"), "source_name", "left_semi")
     sized = cut(T.count(listed, ["doc_id", "source_name"], "text", tokenizer, folder).where("tokens > 0"))
 
-    place = F.xxhash64(F.lit(seed), "doc_id", "source_name")
-    ranged = sized.withColumn("h", place).withColumn("range", F.pmod(F.shiftright("h", 40), F.lit(RANGES)))
-    per_range = ranged.groupBy("source_name", "range").agg(F.sum("tokens").alias("n"), F.count("*").alias("d"))
-    bounded = per_range.persist()  # at most sources x RANGES rows
-    found = {
-        r["source_name"]: r
-        for r in cat.join(bounded.groupBy("source_name").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "source_name", "left").collect()
-    }
+    per_source = sized.groupBy("source_name").agg(F.sum("tokens").alias("n"))
+    found = {r["source_name"]: r for r in cat.join(per_source, "source_name", "left").collect()}  # one row per source
     sizes = {s: int(r["n"] or 0) for s, r in found.items()}
     goal = {s: float(r["mix_weight"]) if sizes[s] else 0.0 for s, r in found.items()}
-    w, total, t = plan(sizes, goal, {s: int(r["max_repeats"]) for s, r in found.items()}, wanted)
+    w, total, t = plan(sizes, goal, {s: int(r["max_repeats"]) for s, r in found.items()}, wanted, evenness)
     budget = {s: int(w[s] * total) for s in found}
-    blocks = {s: budget[s] // sizes[s] if sizes[s] else 0 for s in found}
-    rows = [(s, blocks[s], budget[s] - blocks[s] * sizes[s], budget[s], t, entropy(w)) for s in sorted(found)]
+    whole = {s: budget[s] // sizes[s] if sizes[s] else 0 for s in found}
+    rows = [(s, whole[s], budget[s] - whole[s] * sizes[s], budget[s], t, entropy(w)) for s in sorted(found)]
     budgets = spark.createDataFrame(rows, "source_name string, whole long, rest long, budget long, exponent double, entropy double")
 
-    # A block's order is (range, h, doc_id) rotated to a start of its own; the last block is cut by running sums.
-    before = Window.partitionBy("source_name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bounded.select("source_name", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source_name", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    ended = ranged.join(starts, ["source_name", "range"]).withColumn("end", F.col("start") + F.sum("tokens").over(inside))
-    documents = (
-        ended.join(F.broadcast(budgets), "source_name")
-        .withColumn("times", F.col("whole") + (F.col("end") <= F.col("rest")).cast("long"))
-        .select("doc_id", "source_name", "tokens", "times")
+    # Each block has an order of its own, by a hash drawn anew: first the hash's range, then the hash. Sums per range
+    # place a document in its block without any task seeing a whole source.
+    passes = sized.join(F.broadcast(budgets.where("budget > 0").select("source_name", "whole", "rest")), "source_name")
+    last = F.when(F.col("rest") > 0, F.col("whole")).otherwise(F.col("whole") - 1)
+    laid = (
+        passes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .withColumn("h", F.xxhash64(F.lit(seed), "block", "doc_id", "source_name"))
+        .withColumn("range", F.pmod(F.shiftright("h", 40), F.lit(RANGES)))
+    )
+    of = ["source_name", "block"]
+    per_range = laid.groupBy(*of, "range").agg(F.sum("tokens").alias("n"), F.count("*").alias("d"))  # at most sources x blocks x RANGES rows
+    before = Window.partitionBy(*of).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_range.select(
+        *of, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("tokens_before"), F.coalesce(F.sum("d").over(before), F.lit(0)).alias("docs_before")
     )
-    # The shares need no order: whole blocks and the running sums of the cut block are sums per source.
-    mixed = documents.groupBy("source_name").agg(
-        F.sum(F.col("tokens") * F.col("times")).alias("mixed_tokens"),
-        F.max("times").alias("most_times"),
-        F.count("*").alias("documents"),
-        F.sum("tokens").alias("tokens"),
+    inside = Window.partitionBy(*of, "range").orderBy("h", "doc_id")
+    ended = laid.join(starts, [*of, "range"]).select(
+        *of,
+        (F.col("docs_before") + F.row_number().over(inside) - 1).alias("position"),
+        "doc_id",
+        "tokens",
+        (F.col("tokens_before") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).alias("end"),
+        "whole",
+        "rest",
     )
+    documents = ended.where("block < whole OR end <= rest").drop("end", "whole", "rest")
+    per_doc = documents.groupBy("source_name", "doc_id").agg(F.count("*").alias("times"), F.sum("tokens").alias("n"))
+    mixed = per_doc.groupBy("source_name").agg(F.sum("n").alias("mixed_tokens"), F.max("times").alias("most_times"))
+    held = sized.groupBy("source_name").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
     all_tokens = Window.partitionBy()
-    joined = cat.join(budgets, "source_name").join(mixed, "source_name", "left")
+    joined = cat.join(budgets, "source_name").join(held, "source_name", "left").join(mixed, "source_name", "left")
     fill = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     shares = joined.select(
         "source_name", "mix_weight", "max_repeats", fill("documents"), fill("tokens"), "budget", "exponent",

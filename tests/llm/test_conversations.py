@@ -82,3 +82,25 @@ def test_empty(spark):
     one = spark.createDataFrame([("c", "x", 1)], CONV)
     assert [tuple(r) for r in C.faults(one, none_m).collect()] == [("c", "empty")]
     assert C.faults(none_c, none_m).count() == 0 and C.rebuilt(one, none_m).count() == 0
+
+
+def test_turns_without_id_or_load_time(spark):
+    """No turn hangs on a key or time of delivery that may be null."""
+    at = lambda k: T + dt.timedelta(minutes=k)
+    msgs = [(None, "c", "user", "one", at(0), T, ""), ("b", "c", "assistant", "two", at(1), None, ""), (None, "c", "user", "three", at(2), None, ""),
+            ("d", "c", "assistant", "four", at(3), T, ""), ("d", "c", "assistant", "later", at(3), at(9), "")]
+    d, c = spark.createDataFrame(msgs, M), spark.createDataFrame([("c", None, 1)], CONV)
+    for block in (1, 20_000):
+        got = sorted((r.turn, r.speaker, r.content) for r in C.rebuilt(c, d, block).collect())
+        assert got == [(1, "user", "one"), (2, "assistant", "two"), (3, "user", "three"), (4, "assistant", "four")]
+
+
+def test_blocks_follow_the_points(spark):
+    """Times that crowd one moment are cut as evenly as others; every block is a range of times."""
+    rows = [("hot", i if i < 9_000 else 10**12 + i * 10**9) for i in range(10_000)] + [("cold", i) for i in range(50)]
+    got = C._blocks(spark.createDataFrame(rows, "conversation_id string, ts long"), 100).groupBy("conversation_id", "block").agg(
+        F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")
+    ).collect()
+    hot = sorted((r.block, r.lo, r.hi, r.n) for r in got if r.conversation_id == "hot")
+    assert len(hot) > 50 and max(n for *_, n in hot) < 3 * 10_000 / C.BLOCKS and all(a[2] < b[1] for a, b in zip(hot, hot[1:]))
+    assert len(got) - len(hot) == 1

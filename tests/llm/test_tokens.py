@@ -1,6 +1,7 @@
 """Encoding against a second library and its own round trip; mixing to weights."""
 
 import os
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -48,22 +49,40 @@ def test_mix(spark):
     cat = spark.createDataFrame([("big", 1, 0.6, 1, ""), ("small", 2, 0.3, 4, ""), ("none", 3, 0.1, 2, ""), (None, 4, 0.1, 1, "")], CAT)
     rows, shares = mixing.mix(d, cat)
     rows, shares = rows.collect(), {r.source_name: r for r in shares.collect()}
-    assert len(rows) == 330 and {r.source_name for r in rows} == {"big", "small"}
+    assert {r.source_name for r in rows} == {"big", "small"}
     assert shares["none"].mixed_tokens == 0 and set(shares) == {"big", "small", "none"}
     assert shares["big"].share == pytest.approx(2 / 3, abs=0.02) and shares["small"].share == pytest.approx(1 / 3, abs=0.02)
     for s in ("big", "small"):
         mine = [r for r in rows if r.source_name == s]
-        assert sum(r.tokens * r.times for r in mine) == shares[s].mixed_tokens <= shares[s].budget
-        assert max(r.times for r in mine) <= shares[s].max_repeats and max(r.times for r in mine) - min(r.times for r in mine) <= 1
+        times = Counter(r.doc_id for r in mine)
+        assert sum(r.tokens for r in mine) == shares[s].mixed_tokens <= shares[s].budget
+        assert max(times.values()) == shares[s].most_times <= shares[s].max_repeats and max(times.values()) - min(times.values()) <= 1
+        blocks = [[r.doc_id for r in sorted(mine, key=lambda r: r.position) if r.block == b] for b in sorted({r.block for r in mine})]
+        places = [sorted(r.position for r in mine if r.block == b) for b in sorted({r.block for r in mine})]
+        assert all(p == list(range(len(p))) for p in places) and all(len(set(b)) == len(b) for b in blocks)
+        if s == "small":  # whole passes, each in an order of its own, then the part that is left
+            assert len(blocks) > 2 and all(len(b) == 30 for b in blocks[:-1]) and len({tuple(b) for b in blocks[:-1]}) == len(blocks) - 1
+    half = {r.source_name: r for r in mixing.mix(d, cat, evenness=0.5)[1].collect()}
+    assert 0 < half["small"].exponent < 1 and 0.1 < half["small"].share < 0.33 and half["small"].most_times <= 4
     none, empty = mixing.mix(d.where("doc_id < 0"), cat)
     assert none.count() == 0 and {r.mixed_tokens for r in empty.collect()} == {0}
 
 
 def test_plan():
     sizes, goal, most = {"a": 1000, "b": 100}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}
-    w, total, t = mixing.plan(sizes, goal, most)
+    w, total, t = mixing.plan(sizes, goal, most, wanted=400)
     assert (w["a"], total, t) == (0.5, 400, 1.0)
     w, total, t = mixing.plan(sizes, goal, most, wanted=900)
     assert total == 900 and 0 < t < 1 and w["b"] * total <= 200 + 1e-6 and w["b"] * total > 199
+    # without a size the mixture is no smaller than its sources
+    w, total, t = mixing.plan({"a": 1000, "b": 10}, goal, {"a": 2, "b": 2})
+    assert total == pytest.approx(1010) and 0 < t < 1 and w["b"] * total == pytest.approx(20)
+    w, total, t = mixing.plan({"a": 500, "b": 600}, goal, {"a": 3, "b": 2})
+    assert (t, total) == (1.0, 2400)
+    assert mixing.plan({"a": 10, "b": 10}, goal, {"a": 1, "b": 1}, wanted=900)[1] == 20
     assert mixing.plan({"a": 0}, {"a": 0.0}, {"a": 1})[1] == 0
+    for sizes, goal in (({"a": 900, "b": 100}, {"a": 0.5, "b": 0.5}), ({"a": 500, "b": 500}, {"a": 0.99, "b": 0.01})):
+        w, _, t = mixing.plan(sizes, goal, {"a": 9, "b": 9}, evenness=0.5)
+        n = mixing.entropy({s: x / 1000 for s, x in sizes.items()})
+        assert 0 < t < 1 and mixing.entropy(w) == pytest.approx((n + mixing.entropy(goal)) / 2)
     assert mixing.entropy({"a": 0.5, "b": 0.5}) > mixing.entropy({"a": 0.9, "b": 0.1})
