@@ -103,6 +103,17 @@ def url_in(x: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_extract(x, r"(https?://[^\s<>\"]+)", 1), r"[.,;:!?)\]]+$", ""), F.lit(""))
 
 
+#: Bits of the second number of ``packed``.
+LOW_BITS = 22
+
+
+def packed(high: Column, low: Column) -> Column:
+    """One long of two numbers, in their order and different for different ones; an error where they do not fit."""
+    fits = (high >= 0) & (high < 1 << (63 - LOW_BITS)) & (low >= 0) & (low < 1 << LOW_BITS)
+    made = F.shiftleft(high.cast("long"), LOW_BITS).bitwiseOR(low.cast("long"))
+    return F.when(high.isNull() | low.isNull(), F.lit(None).cast("long")).when(fits, made).otherwise(F.raise_error(F.lit("numbers too large to pack")))
+
+
 def hashed(x: Column) -> Column:
     return F.substring(F.md5(x), 1, 12)
 

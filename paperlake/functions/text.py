@@ -23,6 +23,7 @@ SET_STOPWORDS = (
 COMPLEX_MARKERS = ["compare", "difference", "explain", "analyze", "how", "why"]
 # Characters stripped from both ends of a key term.
 KEY_STRIP = ".,?!:;()[]{}\"'"
+# Fixed value: a DOI in running text.
 DOI = r"10\.\d{4,9}/[^\s\])>'\",]+"
 
 

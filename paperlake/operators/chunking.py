@@ -7,6 +7,7 @@ from 0; repeated rows give repeated chunks.
 from __future__ import annotations
 
 import re
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from paperlake.functions.text import words
 
+# Header lines of sections, and of those with references only.
 SECTION = (
     r"(?i)^\s*(?:(?:\d+|[IVXLCDM]+)(?:\.\d+)*\s*[-.)]?\s*)?"
     r"(?:abstract|introduction|background|method(?:s|ology)?|materials\s*(?:&|and)\s*methods|results?(?:\s+and\s+discussion)?"
@@ -201,10 +203,10 @@ def semantic(docs: DataFrame, key: str, text: str, most: int = 400, least: int =
     """key, chunk_index, chunk by ``semantic_list``; a fold over one text at a time, in Arrow batches."""
 
     @F.pandas_udf(ArrayType(StringType()))
-    def cut(s: pd.Series) -> pd.Series:
+    def runs(s: pd.Series) -> pd.Series:
         return s.map(lambda t: semantic_list(t, most, least, threshold, overlap) if t else [])
 
-    return docs.select(F.col(key), F.posexplode(cut(F.col(text))).alias("chunk_index", "chunk"))
+    return docs.select(F.col(key), F.posexplode(runs(F.col(text))).alias("chunk_index", "chunk"))
 
 
 def repaired_spans(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -275,9 +277,99 @@ def least_tokens(most: int) -> int:
     return max(int(most * 0.4), 200)
 
 
-def chunker(method: str):
-    """The chunker of a method; unknown methods are cut by words."""
-    return {"token": word_windows, "section_aware": proportional, "semantic": semantic, "agentic": semantic}.get(method, word_windows)
+def chunker(method: str, model=None):
+    """The chunker of a method; unknown methods, and ``agentic`` without a model, are cut by words."""
+    if method == "agentic" and model is not None:
+        return partial(agentic, model=model)
+    return {"token": word_windows, "section_aware": in_sections, "semantic": semantic}.get(method, word_windows)
+
+
+def adapted(size: int, overlap: int) -> tuple[int, int]:
+    """Words for a chunk size and overlap given in tokens: three quarters of each."""
+    return int(size * 0.75), int(overlap * 0.75)
+
+
+def encoder(folder: str = "/opt/tokenizers", name: str = "byte_bpe_50k"):
+    """Text to tokens by the first tokenizer there is: a rank file, a tokenizer file, else white space."""
+    import os
+
+    try:
+        import base64
+
+        import tiktoken
+
+        with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in f if x.strip())}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    except (ImportError, OSError):
+        pass
+    try:
+        from tokenizers import Tokenizer
+
+        file = os.path.join(folder, f"{name}.json")
+        if os.path.exists(file):
+            made = Tokenizer.from_file(file)
+            return lambda t: made.encode(t, add_special_tokens=False).ids
+    except ImportError:
+        pass
+    return str.split
+
+
+def span_request(window: str, most: int, least: int) -> str:
+    """What a model is asked about one window."""
+    return (
+        f'Divide the text below into passages that make sense alone. Reply with JSON only: {{"spans": [{{"start": 0, "end": 10}}]}}.\n'
+        f"Offsets count characters from 0 to {len(window)}; spans follow each other without gaps or overlaps, have about {most} and at least {least} words, "
+        f"and end where a paragraph or sentence does.\n\n{window}"
+    )
+
+
+def spans_of(answer: str | None) -> list[tuple[int, int]]:
+    """Spans in a model's answer; none if it holds no such JSON."""
+    import json
+
+    m = re.search(r"(?s)\{.*\}", answer or "")
+    try:
+        return [(int(s["start"]), int(s["end"])) for s in json.loads(m[0])["spans"]] if m else []
+    except (ValueError, KeyError, TypeError):
+        return []
+
+
+def agentic(docs: DataFrame, key: str, text: str, most: int = 400, overlap: int = 0, least: int = 60, model=None, window: int = 8000) -> DataFrame:
+    """key, chunk_index, chunk: passages a model finds in windows of ``window`` characters.
+
+    Spans are clipped, ordered and completed to cover the window; a window
+    whose answer is no use is cut by words. ``overlap`` words of a passage
+    begin the next one.
+    """
+    from paperlake.connectors import completed
+
+    n = F.ceil(F.length(text) / window).cast("int")
+    wide = docs.where(F.trim(F.col(text)) != "").select(F.col(key).alias("_key"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col(text).substr(i * window + 1, F.lit(window)))).alias("_w", "_t"))
+
+    @F.pandas_udf(StringType())
+    def request(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: span_request(x, most, least))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def passages(t: pd.Series, a: pd.Series) -> pd.Series:
+        def one(x: str, answer: str | None) -> list[str]:
+            spans = spans_of(answer)
+            if not spans:
+                w = x.split()
+                return [" ".join(w[i : i + most]) for i in range(0, len(w), most)]
+            return sized_spans(x, repaired_spans(spans, len(x)), least, most)
+
+        return pd.Series([one(x, y) for x, y in zip(t, a)])
+
+    said = completed(wide.withColumn("_p", request("_t")), "_p", model, "_a")
+    flat = said.select("_key", "_w", F.posexplode(passages("_t", "_a")).alias("_i", "chunk"))
+    w = Window.partitionBy("_key").orderBy("_w", "_i")
+    before = F.lag("chunk").over(w)
+    tail = F.array_join(F.slice(words(before), F.greatest(F.lit(1), F.size(words(before)) - overlap + 1), F.lit(max(overlap, 1))), " ")
+    chunk = F.when(before.isNotNull() & F.lit(overlap > 0), F.concat(tail, F.lit(" "), "chunk")).otherwise(F.col("chunk"))
+    return flat.select(F.col("_key").alias(key), (F.row_number().over(w) - 1).alias("chunk_index"), chunk.alias("chunk"))
 
 
 def in_sections(docs: DataFrame, key: str, text: str, most: int, overlap: int = 0) -> DataFrame:

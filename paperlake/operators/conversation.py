@@ -80,6 +80,17 @@ def latest(messages: DataFrame, conv: str, order: list[str], most: int) -> DataF
     return messages.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
+def recent(conversations: DataFrame, most: int, updated: str = "updated_at", key: str = "id") -> DataFrame:
+    """The ``most`` conversations updated last, the latest first; those without a time last, ties by key."""
+    return conversations.orderBy(F.col(updated).desc_nulls_last(), key).limit(most)
+
+
+def opening(messages: DataFrame, conv: str, order: list[str], most: int) -> DataFrame:
+    """The ``most`` earliest messages of each conversation."""
+    w = Window.partitionBy(conv).orderBy(*order)
+    return messages.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
 def block(messages: DataFrame, conv: str, order: list[str], chars: int = 2000, most: int = 8) -> DataFrame:
     """conv, block: the last ``most`` messages as labelled lines in at most about ``chars`` characters.
 

@@ -89,11 +89,37 @@ def facets(names: DataFrame, entries: DataFrame, facet: str) -> DataFrame:
     return both.select(facet, "n", status.alias("status"), F.when(F.col("n") == 0, 0.0).otherwise(score).alias("confidence"))
 
 
-def overall(facet_rows: DataFrame) -> DataFrame:
-    """One row: the mean confidence, and the maps of statuses and confidences."""
-    return facet_rows.agg(
-        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"), F.count_if(F.col("status") == "gap").alias("gaps")
-    )
+def overall(facet_rows: DataFrame, facet: str = "facet", group: str | None = None) -> DataFrame:
+    """One row (per ``group``): the mean confidence, the number of gaps, and the maps of statuses and confidences by facet.
+
+    The facets of one plan are one row; rows of many plans need their ``group``.
+    """
+    by = lambda c: F.map_from_entries(F.collect_list(F.struct(facet, c)))
+    return facet_rows.groupBy(*([group] if group else [])).agg(
+        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"), F.count_if(F.col("status") == "gap").alias("gaps"),
+        by("status").alias("statuses"), by("confidence").alias("confidences"),
+    )
+
+
+def prompt_block(facet_rows: DataFrame, entries: DataFrame, facet: str, pos: str, most: int = 7, chars: int = 3200, group: str | None = None) -> DataFrame:
+    """(group,) block: each facet's status and latest entries as lines for a model, cut at ``chars`` characters.
+
+    entries: title, doi, excerpt. Facets come in the order of ``ord`` if there is one, else by name.
+    """
+    some = lambda c, *x: F.when(F.coalesce(c, F.lit("")) != "", F.concat(*x)).otherwise("")
+    line = F.concat(
+        F.lit("  - "), F.left(F.coalesce("title", F.lit("?")), F.lit(140)), some(F.col("doi"), F.lit(" (DOI: "), "doi", F.lit(")")),
+        some(F.col("excerpt"), F.lit("\n    "), F.left("excerpt", F.lit(350))),
+    )
+    last = last_entries(entries, facet, pos, most).groupBy(facet).agg(F.array_sort(F.collect_list(F.struct(pos, line.alias("l")))).alias("_e"))
+    rows = facet_rows.join(last, facet, "left")
+    head = F.concat(F.lit("["), F.upper("status"), F.lit("] Facet: "), facet)
+    lines = F.array_join(F.transform("_e", lambda e: e["l"]), "\n")
+    section = F.concat(head, F.lit("\n"), F.coalesce(lines, F.lit("  (no evidence yet)")))
+    order = F.col("ord" if "ord" in facet_rows.columns else facet)
+    all_ = rows.groupBy(*([group] if group else [])).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), section.alias("s")))).alias("_s"))
+    text_ = F.array_join(F.transform("_s", lambda x: x["s"]), "\n\n")
+    return all_.select(*([group] if group else []), F.when(F.length(text_) > chars, F.concat(F.left(text_, F.lit(chars)), F.lit("\n…"))).otherwise(text_).alias("block"))
 
 
 def last_entries(entries: DataFrame, facet: str, pos: str, most: int = 7) -> DataFrame:
@@ -181,16 +207,6 @@ def neighbours_missing(facet_rows: DataFrame, steps: DataFrame) -> DataFrame:
     return gaps.join(steps.select(facet_key(F.col("query")).alias("facet")).distinct(), "facet", "left_anti")
 
 
-def progress(gaps: Column, sufficient: Column, confidence: Column, replans: Column, remaining: Column, most: int = 3) -> Column:
-    """``answer``, ``replan`` or ``continue`` from the state of an agent's evidence."""
-    return (
-        F.when(sufficient & (confidence >= 0.85), "answer")
-        .when((gaps > 0) & (replans < most) & (remaining == 0), "replan")
-        .when(remaining > 0, "continue")
-        .otherwise("answer")
-    )
-
-
 def citation_list(hits: DataFrame, group: str) -> DataFrame:
     """group, url, citation, documents, date of each distinct source; ``date`` is that of the first in order. hits: url, citation, date, pos."""
     c = hits.select(group, F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.nullif("citation", F.lit("")), F.lit("Unknown")).alias("citation"), "date", "pos")
@@ -246,8 +262,31 @@ def for_extraction(papers: DataFrame, pos: str, most: int = 8) -> DataFrame:
     full, abstract = F.coalesce("full_text", F.lit("")), F.coalesce("abstract", F.lit(""))
     body = F.when(F.length(full) >= 500, full).otherwise(abstract)
     fits = (F.length(full) >= 500) | (F.length(abstract) >= 200)
-    numbered = papers.withColumn("place", F.row_number().over(Window.orderBy(pos))) if "place" not in papers.columns else papers
-    return numbered.where(fits).orderBy(pos).limit(most).withColumn("body", body).where(F.length("body") >= 400)
+    first = papers.where(fits).orderBy(pos).limit(most).withColumn("body", body).where(F.length("body") >= 400)
+    if "place" in papers.columns:
+        return first
+    # at most ``most`` rows, each against the positions of all: a sum per row, combined before the shuffle
+    bounds = first.select(F.col(pos).alias("_at"))
+    place = papers.select(F.col(pos).alias("_p")).join(F.broadcast(bounds), F.col("_p") <= F.col("_at")).groupBy("_at").agg(F.count("*").alias("place"))
+    return first.join(place, F.col(pos) == F.col("_at")).drop("_at")
+
+
+def download_order(papers: DataFrame, pos: str, least: int = 3, most: int = 10) -> DataFrame:
+    """The first ``most`` papers with a DOI and a relevance of ``least``, with ``place``: closed access first, then by relevance.
+
+    The order is the one of a descending sort by (not open access, relevance), ties in the order of ``pos``.
+    """
+    some = papers.where((F.coalesce("relevance", F.lit(0)) >= least) & (F.coalesce("doi", F.lit("")) != "")).orderBy(pos).limit(most)
+    w = Window.orderBy((~F.coalesce("open_access", F.lit(False))).desc(), F.coalesce("relevance", F.lit(0)).desc(), pos)  # at most ``most`` rows
+    return some.withColumn("place", F.row_number().over(w))
+
+
+def across_sources(found: DataFrame, pos: str) -> DataFrame:
+    """Results of several services without repeats: of equal DOIs, or titles where there is none, the best cited, then the first."""
+    k = evidence_key(F.col("doi"), F.col("title"))
+    keyed = found.withColumn("_k", F.when(k == "", F.concat(F.lit("#"), F.col(pos).cast("string"))).otherwise(k))
+    w = Window.partitionBy("_k").orderBy(F.coalesce("citations", F.lit(0)).desc(), pos)
+    return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_k")
 
 
 def accuracy(df: DataFrame, predicted: str, expected: str) -> DataFrame:

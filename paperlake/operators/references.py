@@ -50,6 +50,7 @@ class Graph:
     tables: dict[str, Table]
     references: list[Reference]
     records: dict[str, DataFrame] = field(default_factory=dict)
+    counted: dict = field(default_factory=dict, repr=False)
 
     def record(self, name: str) -> DataFrame:
         """One row per key: _id, _at, _loaded, _deleted and the references of the table."""
@@ -74,8 +75,11 @@ class Graph:
         return self.records[name]
 
     def hot(self, ref: Reference) -> list:
-        t = self.tables[ref.child]
-        return hot_keys(t.df.select(F.col(ref.field).cast("string").alias("k")), F.col("k"))
+        """Hot keys of a reference, counted once."""
+        if (ref.child, ref.field) not in self.counted:
+            t = self.tables[ref.child]
+            self.counted[ref.child, ref.field] = hot_keys(t.df.select(F.col(ref.field).cast("string").alias("k")), F.col("k"))
+        return self.counted[ref.child, ref.field]
 
     def levels(self) -> list[str] | None:
         """Tables from parents to children, or None when references form a cycle."""

@@ -153,9 +153,9 @@ def minmax(x: Column, by: list[str] | None = None) -> Column:
 
 def bm25_normalized(scores: DataFrame, qkey: str, key: str, k: int) -> DataFrame:
     """The ``k`` best of each question divided by its best score, positive ones only, which are cut out after the top-k."""
-    best = scores.withColumn("best", F.max("score").over(Window.partitionBy(qkey)))
-    top = topk(best, qkey, key, k).where(F.col("score") > 0)
-    return top.select(qkey, key, (F.col("score") / F.col("best")).alias("score"), "rank")
+    top = topk(scores, qkey, key, k)
+    best = F.max("score").over(Window.partitionBy(qkey))  # of at most ``k`` rows, the best of all among them
+    return top.withColumn("best", best).where(F.col("score") > 0).select(qkey, key, (F.col("score") / F.col("best")).alias("score"), "rank")
 
 
 def candidate_bm25(cands: DataFrame, qkey: str, key: str, text: str, qtext: str) -> DataFrame:
@@ -241,6 +241,12 @@ def two_pass(best: DataFrame, qkey: str, paper: str, chunks: DataFrame, overlap:
     return wanted.join(joined(some, paper, overlap), paper, "left")
 
 
+def zipped(df: DataFrame, *arrays: str) -> DataFrame:
+    """One row per place (``pos``) of parallel arrays, as a vector store gives ids, texts and scores; short arrays give nulls."""
+    rest = [c for c in df.columns if c not in arrays]
+    return df.select(*rest, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "_z")).select(*rest, "pos", *[F.col(f"_z.{a}").alias(a) for a in arrays])
+
+
 def merged_scope(ranked_: DataFrame, forced: DataFrame, qkey: str, paper: str, cap: int) -> DataFrame:
     """qkey, paper, score, place: forced papers in their order, then the ranked ones, without repeats, ``cap`` at most.
 

@@ -107,7 +107,10 @@ class Store:
         return sorted(s.getPath().getName().split("=", 1)[1] for s in fs.listStatus(base)) if fs.exists(base) else []
 
     def replace(self, kb: str, df: DataFrame, table: str = "chunks") -> None:
-        """Write all rows to a staging directory, then put it in place; a failure leaves the old rows."""
+        """Write all rows to a staging directory, then put it in place.
+
+        The old rows are moved aside before and deleted after; a failure on the way puts them back.
+        """
         fs, path = self._fs()
         stage = f"{self.root}/_staging/{uuid.uuid4().hex}"
         try:
@@ -117,8 +120,19 @@ class Store:
             raise
         target = path(self._at(table, kb))
         fs.mkdirs(target.getParent())
-        fs.delete(target, True)
-        fs.rename(path(stage), target)
+        aside = path(stage + "-old")
+        if fs.exists(target) and not fs.rename(target, aside):
+            fs.delete(path(stage), True)
+            raise OSError(f"{target} could not be moved")
+        try:
+            if not fs.rename(path(stage), target):
+                raise OSError(f"{stage} could not be put in place")
+        except BaseException:
+            if fs.exists(aside):
+                fs.rename(aside, target)
+            fs.delete(path(stage), True)
+            raise
+        fs.delete(aside, True)
 
     def append(self, kb: str, df: DataFrame, table: str = "chunks") -> None:
         df.drop("kb_name").write.mode("append").parquet(self._at(table, kb))
@@ -136,7 +150,7 @@ class Store:
         self.replace(kb, without(self.read(kb, table), gone, key), table)
 
 
-def first_seen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key in order."""
-    w = Window.partitionBy(*keys).orderBy(order)
+def first_seen(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The first row of each key in order; without one, the least row as JSON, which is the same in every run."""
+    w = Window.partitionBy(*keys).orderBy(order if order else F.to_json(F.struct(*df.columns)))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

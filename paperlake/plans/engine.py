@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlake import connectors
-from paperlake.functions import text
+from paperlake.functions import ids, text
 from paperlake.operators import chunking
 from paperlake.operators import retrieval as R
 from paperlake.session import cut
@@ -63,8 +63,8 @@ class Engine:
         """
         extra = F.coalesce("phrasings", F.array().cast("array<string>")) if "phrasings" in questions.columns else F.array().cast("array<string>")
         asked = questions.select("qid", F.posexplode(F.array_distinct(F.concat(F.array("q"), extra))).alias("n", "q"))
-        flat = asked.select((F.col("qid") * 100 + F.col("n")).alias("qid"), "q")
-        hits = self._hits(flat, self.s.initial).withColumn("req", F.floor(F.col("qid") / 100))
+        flat = asked.select(ids.packed(F.col("qid"), F.col("n")).alias("qid"), "q")
+        hits = self._hits(flat, self.s.initial).withColumn("req", F.shiftright("qid", ids.LOW_BITS))
         fused = R.fusion(hits, "req", "qid", "chunk")
         of = hits.groupBy("req", "chunk").agg(F.min(F.struct("qid", "rank", "paper_id", "source")).alias("m"))
         named = fused.join(of, ["req", "chunk"]).select("req", "place", "wrrf", "m.paper_id", "m.source")
@@ -78,8 +78,8 @@ class Engine:
 
         clean = questions.select("qid", "q", cleaned(F.col("q")).alias("_c"))
         parts = clean.select("qid", F.posexplode(F.array_distinct(F.array_prepend(subqueries(F.col("_c")), F.col("q")))).alias("n", "q"))
-        flat = parts.select((F.col("qid") * 100 + F.col("n")).alias("qid"), "q")
-        hits = self._hits(flat, self.s.top_k).withColumn("qid", F.floor(F.col("qid") / 100))
+        flat = parts.select(ids.packed(F.col("qid"), F.col("n")).alias("qid"), "q")
+        hits = self._hits(flat, self.s.top_k).withColumn("qid", F.shiftright("qid", ids.LOW_BITS))
         best = hits.groupBy("qid", "paper_id").agg(F.max("score").alias("score"))
         return self._two_pass(R.ranked(best, "qid", "paper_id").withColumnRenamed("rank", "place"))
 

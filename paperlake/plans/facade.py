@@ -78,7 +78,7 @@ class Tools:
 
     def add_papers_to_kb(self, kb: str, papers: DataFrame) -> int:
         """The number of papers added: those not there yet, the first row of each, that have text."""
-        new = papers.dropDuplicates(["paper_id"])
+        new = store.first_seen(papers, ["paper_id"])
         if self.store.exists(kb):
             new = store.without(new, self.store.read(kb).select("paper_id"), "paper_id")
         chunks = engine.built(new, self.embedder, self.size, self.overlap).persist()

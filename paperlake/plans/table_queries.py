@@ -88,10 +88,12 @@ def facet_confidence(s, d):
     return evidence.facets(_facet_names(s, d), evidence.accumulated(_entries(s, d), "facet", "pos"), "facet")
 
 
-@query("overall_confidence", f"WITH {_ENT} SELECT round(avg(confidence), 6) AS confidence, count(*) FILTER (status = 'gap') AS gaps FROM fs")
+@query("overall_confidence", f"""WITH {_ENT} SELECT round(avg(confidence), 6) AS confidence, count(*) FILTER (status = 'gap') AS gaps,
+ string_agg(facet || '=' || status || '/' || confidence::varchar, ';' ORDER BY facet) AS parts FROM fs""")
 def overall_confidence(s, d):
     o = evidence.overall(facet_confidence(s, d))
-    return o.select(F.round("confidence", 6).alias("confidence"), "gaps")
+    part = lambda k: F.concat(k, F.lit("="), F.col("statuses")[k], F.lit("/"), F.col("confidences")[k].cast("string"))
+    return o.select(F.round("confidence", 6).alias("confidence"), "gaps", F.array_join(F.transform(F.array_sort(F.map_keys("statuses")), part), ";").alias("parts"))
 
 
 @query(
@@ -297,9 +299,10 @@ def searchable_papers(s, d):
     return store.searchable(_papers(s, d)).select("paper_no")
 
 
-@query("quarantine", "SELECT paper_no FROM papers WHERE trim(coalesce(title, '')) = '' OR NOT coalesce(\"year\" BETWEEN 1800 AND 2027, true)")
+@query("quarantine", "SELECT paper_no FROM papers WHERE trim(coalesce(title, '')) = '' OR NOT coalesce(\"year\" BETWEEN 1800 AND 2020, true)")
 def quarantine(s, d):
-    return store.quarantined(_papers(s, d), 2026)[1].select("paper_no")
+    """As in 2019: papers of later years than the next one are invalid."""
+    return store.quarantined(_papers(s, d), 2019)[1].select("paper_no")
 
 
 @query(
@@ -340,7 +343,7 @@ def content_priority(s, d):
     "zotero_map",
     r"""SELECT record_no, CASE WHEN doi <> '' THEN 'doi:' || lower(doi) WHEN url <> '' THEN url ELSE 'generated:' || left(md5(coalesce(nullif(title, ''), 'Untitled')), 12) END AS id,
  len(list_filter(list_transform(regexp_split_to_array(coalesce(author, ''), '\s*;\s*'), lambda a: trim(a)), lambda a: a <> ''))::int AS n_authors,
- try_cast(regexp_extract(coalesce(date_text, ''), '^(\d{1,6})(?:-|$)', 1) AS int) AS "year" FROM search_records WHERE NOT contains(coalesce(author, ''), ' and ')""",
+ try_cast(regexp_extract(coalesce(date_text, ''), '^(\d{1,6})(?:-|$)', 1) AS int) AS "year" FROM search_records""",
 )
 def zotero_map(s, d):
     return services.zotero_papers(table(s, d, "search_records")).select("record_no", "id", F.size("authors").alias("n_authors"), "year")
@@ -486,7 +489,7 @@ def kb_pipeline(s, d):
 def _engine(s, d) -> engine.Engine:
     docs = spread(table(s, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("paper_id"), "text", "source"))
     chunks = chunking.word_windows(docs, "paper_id", "text", 200, 20).join(docs.select("paper_id", "source"), "paper_id")
-    named = chunks.withColumn("id", F.col("paper_id") * 10_000 + F.col("chunk_index"))
+    named = chunks.withColumn("id", ids.packed(F.col("paper_id"), F.col("chunk_index")))
     return engine.Engine(cut(connectors.embedded(named, "chunk", connectors.HashingEmbedder())), connectors.HashingEmbedder(), connectors.EchoModel())
 
 

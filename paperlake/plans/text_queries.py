@@ -38,10 +38,11 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "messages").where(F.lower(F.trim("role")).isin("user", "human")).where("content IS NOT NULL").select("id", "loaded_at", "content")
+    """Every message is asked; which of them are questions is not read off the role, which is spelt in many ways."""
+    return table(s, d, "messages").where("content IS NOT NULL").select("id", "loaded_at", "content")
 
 
-_ASKED = "(SELECT id, loaded_at, content FROM messages WHERE lower(trim(role)) IN ('user', 'human') AND content IS NOT NULL)"
+_ASKED = "(SELECT id, loaded_at, content FROM messages WHERE content IS NOT NULL)"
 
 
 @query(
@@ -105,8 +106,8 @@ def normalize_text(s, d):
 
 @query(
     "title_tokens",
-    f"""SELECT paper_no, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'),
- lambda t: length(t) > 1 AND t NOT IN ({_in(text.SET_STOPWORDS)})))) AS tokens FROM papers WHERE regexp_full_match(title, '[\\x00-\\x7F]*')""",
+    f"""SELECT paper_no, list_sort(list_distinct(list_filter(regexp_extract_all({_NORM}, '[a-z0-9]+'),
+ lambda t: length(t) > 1 AND t NOT IN ({_in(text.SET_STOPWORDS)})))) AS tokens FROM papers WHERE title IS NOT NULL""",
 )
 def title_tokens(s, d):
     p = table(s, d, "papers").where("title IS NOT NULL")
@@ -308,15 +309,14 @@ def academic_references(s, d):
 
 @query(
     "paper_blocks",
-    """SELECT doc_id, '[Paper ' || doc_id || '] ' || section || CASE WHEN source <> '' THEN ' — ' || source ELSE '' END || ' | relevance: 0.50' || chr(10) || chr(10)
- || CASE WHEN length(text) > 600 THEN left(text, 600) || chr(10) || '[...truncated]' ELSE text END AS block
- FROM documents WHERE text IS NOT NULL AND section <> ''""",
+    """SELECT doc_id, '[Paper ' || doc_id || ']' || CASE WHEN section <> '' THEN ' ' || section ELSE '' END || CASE WHEN source <> '' THEN ' — ' || source ELSE '' END || ' | relevance: 0.50' || chr(10) || chr(10)
+ || CASE WHEN length(text) > 600 THEN left(text, 600) || chr(10) || '[...truncated]' ELSE coalesce(text, '') END AS block FROM documents""",
 )
 def paper_blocks(s, d):
     c = F.col
     null = F.lit(None).cast("string")
     block = text.paper_block(c("doc_id"), c("section"), c("source"), null, null, F.lit(0.5), c("text"), 600)
-    return _docs(s, d).where("text IS NOT NULL AND section <> ''").select("doc_id", block.alias("block"))
+    return _docs(s, d).select("doc_id", block.alias("block"))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperlake.operators.chunking import pieces
+from paperlake.operators.store import first_seen
 
 # Kinds of events in their usual order.
 KINDS = ["status", "thinking", "tool_call", "tool_result", "source", "content", "evidence_update", "papers_found", "done", "error"]
@@ -60,8 +61,8 @@ def envelope(ok: Column, data: Column, error: Column | None = None) -> Column:
     return F.when(ok, F.to_json(F.struct(F.lit(True).alias("success"), data.alias("data")))).otherwise(bad)
 
 
-def ingest(papers: DataFrame, key: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append papers of a stream whose key is not in ``target`` (Parquet) yet, the first of each key in a batch.
+def ingest(papers: DataFrame, key: str, target: str, checkpoint: str, once: bool = True, order: str | None = None) -> StreamingQuery:
+    """Append papers of a stream whose key is not in ``target`` (Parquet) yet, the first of each key in a batch (``store.first_seen``).
 
     A batch that is repeated after a failure finds its rows in the target and
     adds none, so the table has each key once.
@@ -69,7 +70,7 @@ def ingest(papers: DataFrame, key: str, target: str, checkpoint: str, once: bool
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        new = first_seen(batch.where(F.col(key).isNotNull()), [key], order)
         try:
             new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
         except Exception as e:  # the first batch makes the table
