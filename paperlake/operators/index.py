@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import space_tokens
+from paperlake.operators import overlap
+from paperlake.operators.retrieval import SCALE
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 Tokenizer = Callable[[Column], Column]
@@ -83,6 +85,28 @@ def scored(
     return both.groupBy(qkey, key).agg(F.sum(F.col("idf") * weight(F.col("tf"), F.col("dl"), size.avgdl or 1.0) * F.col("qtf")).alias("score"))
 
 
+def scored_best(
+    docs: DataFrame, key: str, text: str, queries: DataFrame, qkey: str, qtext: str, k: int, tokens: Tokenizer = space_tokens
+) -> DataFrame:
+    """The rows of ``scored`` that can be among the ``k`` best of a question; keys are long.
+
+    Whatever is below ``k`` rows of its own task stays there (see ``overlap``),
+    so no row per pair of a question and a document is shuffled.
+    """
+    size = corpus(lengths(docs, key, text, tokens)).first()  # two numbers
+    weights = idf(frequencies(docs, key, text, tokens), size.n)
+    asked = query_terms(queries, qkey, qtext, tokens).join(weights, "term")
+    asked = asked.select(F.col(qkey).cast("long").alias("_q"), "term", (F.col("idf") * F.col("qtf")).alias("w"))
+    texts = docs.select(F.col(key).cast("long").alias("_k"), tokens(F.col(text)).alias("_t"))
+    avgdl = size.avgdl or 1.0
+
+    def part(tf, dl):
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+    found = overlap.best(texts, asked, queries.count(), k, part, SCALE)
+    return found.select(F.col("_q").alias(qkey), F.col("_k").alias(key), "score")
+
+
 def saved(store, kb: str, docs: DataFrame, key: str, text: str, tokens: Tokenizer = space_tokens) -> None:
     """Write postings, document frequencies and lengths of a knowledge base to its store."""
     store.replace(kb, postings(docs, key, text, tokens), "postings")

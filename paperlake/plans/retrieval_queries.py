@@ -93,18 +93,19 @@ def bm25_idf(s, d):
     return index.idf(index.frequencies(docs, "doc_id", "text"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _scores(s, d) -> DataFrame:
-    return index.scored(spread(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", _questions(s, d), "qid", "q")
+def _scores(s, d, k: int) -> DataFrame:
+    """Scores of the ``k`` best documents of each question, and some more."""
+    return index.scored_best(spread(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", _questions(s, d), "qid", "q", k)
 
 
 @query("bm25_topk", f"WITH {_BMQ} SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def bm25_topk(s, d):
-    return R.topk(_scores(s, d), "qid", "doc_id", 5).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return R.topk(_scores(s, d, 5), "qid", "doc_id", 5).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("bm25_normalized", f"WITH {_BMQ} SELECT qid, doc_id, round(score / best, 6) AS score, rank FROM r WHERE rank <= 10 AND score > 0")
 def bm25_normalized(s, d):
-    return R.bm25_normalized(_scores(s, d), "qid", "doc_id", 10).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return R.bm25_normalized(_scores(s, d, 10), "qid", "doc_id", 10).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -220,7 +221,7 @@ def paper_dedup_search(s, d):
 )
 def two_pass_fulltext(s, d):
     docs = spread(table(s, d, "documents").select("doc_id", "text"), "doc_id")
-    best = cut(R.topk(_scores(s, d), "qid", "doc_id", 3).withColumnRenamed("rank", "place"))
+    best = cut(R.topk(_scores(s, d, 3), "qid", "doc_id", 3).withColumnRenamed("rank", "place"))
     wanted = docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = chunking.word_windows(wanted, "doc_id", "text", 100, 20)
     out = R.two_pass(best, "qid", "doc_id", chunks, 20)
@@ -241,7 +242,7 @@ def two_pass_fulltext(s, d):
  SELECT qid, doc_id, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY qid ORDER BY round(relevance, 6) DESC, place) AS new_place FROM o""",
 )
 def relevance_reorder(s, d):
-    hits = R.topk(_scores(s, d), "qid", "doc_id", 10).withColumnRenamed("rank", "place")
+    hits = R.topk(_scores(s, d, 10), "qid", "doc_id", 10).withColumnRenamed("rank", "place")
     docs = table(s, d, "documents").select("doc_id", "text", "section", F.year("loaded_at").alias("yr"))
     q = _questions(s, d).select("qid", text.key_terms(F.col("q")).alias("terms"))
     out = R.reordered(hits.join(docs, "doc_id").join(q, "qid"), "qid", "terms", "text", "section", "yr", 2026)
