@@ -1,8 +1,8 @@
 """Which papers a question names: by DOI, or by a title in quotation marks.
 
 Title candidates share a word, or their first eight letters for titles without
-one; the arg-max of the match score is taken per quotation. No pair of a
-question and a paper without a common word is formed.
+one; the arg-max of the match score is taken per quotation. Pairs of a
+question and a paper are not rows; see ``overlap``.
 
 Defined results: a paper without title and DOI is never named; of equal scores
 the smaller ``ord`` wins; a quotation that fits no title with 0.32 or more
@@ -11,10 +11,12 @@ names nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions import ids, text
+from paperlake.operators import overlap
+from paperlake.session import cut, spread
 
 LEAST, SURE = 0.32, 0.85
 
@@ -27,18 +29,70 @@ def by_doi(questions: DataFrame, papers: DataFrame, qkey: str, q: str) -> DataFr
     return hit.groupBy(qkey, "paper_id").agg(F.min("place").alias("place"))
 
 
+def _marks(x: Column) -> Column:
+    """Of normalized text: its words and, after ``#``, its first eight letters."""
+    return F.array_append(text.token_set(x), F.concat(F.lit("#"), F.left(F.regexp_replace(x, "[^\\p{L}\\p{N}]", ""), F.lit(8))))
+
+
+def _parts(x: Column) -> Column:
+    """All runs of ASCII letters and digits, in order."""
+    return F.regexp_extract_all(x, F.lit("([a-z0-9]+)"), F.lit(1))
+
+
+def _triples(runs: Column) -> Column:
+    """Each three runs in a row as one string."""
+    starts = F.when(F.size(runs) > 2, F.sequence(F.lit(1), F.size(runs) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(runs, i, F.lit(3)), " "))
+
+
+def _inner_keys(x: Column) -> Column:
+    """Keys of which any text that holds ``x`` and shares a mark with it has one in its ``_outer_keys``.
+
+    All runs but the first and the last are whole runs of the holder too, so the
+    longest three of them in a row are enough; a text of under five runs has its marks.
+    """
+    runs = _parts(x)
+    inner = _triples(F.slice(runs, F.lit(2), F.greatest(F.size(runs) - 2, F.lit(0))))
+    longest = F.array_max(F.transform(inner, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
+    return F.when(F.size(runs) > 4, F.array(longest)).otherwise(F.array_distinct(_marks(x)))
+
+
+def _outer_keys(x: Column) -> Column:
+    return F.array_distinct(F.concat(_triples(_parts(x)), _marks(x)))
+
+
+def _holding(said: DataFrame, titles: DataFrame, few: bool) -> DataFrame:
+    """_q, paper_id, ord, score 1: the first title in order that a quotation holds or that holds it."""
+    hint = F.broadcast if few else lambda df: df
+    a, b = said.select("_q", "_qn"), titles.select("paper_id", "ord", "_tn")
+    around = b.withColumn("_w", F.explode(_outer_keys(F.col("_tn")))).join(hint(a.withColumn("_w", F.explode(_inner_keys(F.col("_qn"))))), "_w").where(F.contains("_tn", "_qn"))
+    within = b.withColumn("_w", F.explode(_inner_keys(F.col("_tn")))).join(hint(a.withColumn("_w", F.explode(_outer_keys(F.col("_qn"))))), "_w").where(F.contains("_qn", "_tn"))
+    pairs = around.unionByName(within).where(F.arrays_overlap(_marks(F.col("_qn")), _marks(F.col("_tn"))))
+    first = pairs.groupBy("_q").agg(F.min(F.struct("ord", "paper_id")).alias("_f"))
+    return first.select("_q", "_f.paper_id", "_f.ord", F.lit(1.0).alias("score"))
+
+
 def by_title(questions: DataFrame, papers: DataFrame, qkey: str, q: str) -> DataFrame:
-    """qkey, place, paper_id, score: the best title for each quotation, of LEAST or more. papers: paper_id, title, ord."""
-    asked = questions.select(qkey, F.posexplode(text.quoted(F.col(q))).alias("place", "_q")).withColumn("_qn", text.normalized(F.col("_q")))
-    titled = papers.where(F.coalesce("title", F.lit("")) != "").select("paper_id", "ord", text.normalized(F.col("title")).alias("_tn"))
-    marks = lambda c: F.array_append(text.token_set(F.col(c)), F.concat(F.lit("#"), F.left(F.regexp_replace(c, "[^\\p{L}\\p{N}]", ""), F.lit(8))))
-    a = asked.withColumn("_w", F.explode(F.array_distinct(marks("_qn"))))
-    b = titled.withColumn("_w", F.explode(F.array_distinct(marks("_tn"))))
-    # questions are few; the optimizer broadcasts their words where their measured size allows it
-    both = b.join(a, "_w").select(qkey, "place", "paper_id", "ord", "_qn", "_tn").distinct()
-    scored = both.withColumn("score", text.title_match(F.col("_qn"), F.col("_tn"))).where(F.col("score") >= LEAST)
-    w = Window.partitionBy(qkey, "place").orderBy(F.col("score").desc(), "ord")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(qkey, "place", "paper_id", "score")
+    """qkey, place, paper_id, score: the best title for each quotation, of LEAST or more. papers: paper_id, title, ord.
+
+    Equal quotations and equal titles count once. Scores of common words are
+    summed block by block (``overlap``), each task passing on one title per
+    quotation; titles inside quotations and the other way round are joined on
+    three words in a row.
+    """
+    asked = questions.select(qkey, F.posexplode(text.quoted(F.col(q))).alias("place", "_q")).select(qkey, "place", text.normalized(F.col("_q")).alias("_qn"))
+    said = cut(asked.where("_qn <> ''").select("_qn").distinct().withColumn("_q", F.monotonically_increasing_id()))
+    n = said.count()
+    titled = papers.where(F.coalesce("title", F.lit("")) != "").select(text.normalized(F.col("title")).alias("_tn"), F.struct("ord", "paper_id").alias("_f"))
+    titles = cut(titled.where("_tn <> ''").groupBy("_tn").agg(F.min("_f").alias("_f")).select("_tn", "_f.*"))
+    words = said.withColumn("_s", text.token_set(F.col("_qn"))).select("_q", F.size("_s").alias("size"), F.explode("_s").alias("term"), F.lit(1.0).alias("w"))
+    order = F.coalesce(F.col("ord").cast("long"), F.lit(-(2**63)))
+    texts = spread(titles).select(order.alias("_k"), text.token_set(F.col("_tn")).alias("_t"), "paper_id", "ord")
+    some = overlap.best(texts, words, n, 1, least=LEAST).select("_q", "paper_id", "ord", "score")
+    scored = some.unionByName(_holding(said, titles, n <= overlap.HELD))
+    w = Window.partitionBy("_q").orderBy(F.col("score").desc(), "ord")
+    first = scored.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    return asked.join(said, "_qn").join(first, "_q").select(qkey, "place", "paper_id", "score")
 
 
 def resolved(questions: DataFrame, papers: DataFrame, qkey: str, q: str, cap: int = 5) -> DataFrame:
