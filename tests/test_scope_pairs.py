@@ -53,7 +53,7 @@ def _joined(node):
             yield from _joined(node.children().apply(i))
 
 
-@pytest.mark.parametrize("name", ["scope_title"])
+@pytest.mark.parametrize("name", ["scope_title", "scope_resolve"])
 def test_no_row_per_pair(spark, name):
     """A word that all titles and questions have does not make a row of each pair."""
     words = lambda i: " ".join(f"word{i * k % 997}" for k in range(2, 8))
