@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name, k", [("bm25_normalized", 10), ("relevance_reorder", 10), ("bm25_topk", 5)])
+@pytest.mark.parametrize("name, k", [("bm25_normalized", 10), ("relevance_reorder", 10), ("bm25_topk", 5), ("two_pass_fulltext", 3)])
 def test_rows_ranked(spark, monkeypatch, name, k):
     """What is ranked is at most k rows per question and task."""
     seen, plain = [], R.ranked
