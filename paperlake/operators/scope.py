@@ -2,7 +2,8 @@
 
 Title candidates share a word, or their first eight letters for titles without
 one; the arg-max of the match score is taken per quotation. Pairs of a
-question and a paper are not rows; see ``overlap``.
+question and a paper are not rows; see ``overlap``. Quotations with a title of
+the highest score, 1, are found by joins alone and compared with no other.
 
 Defined results: a paper without title and DOI is never named; of equal scores
 the smaller ``ord`` wins; a quotation that fits no title with 0.32 or more
@@ -61,35 +62,50 @@ def _outer_keys(x: Column) -> Column:
     return F.array_distinct(F.concat(_triples(_parts(x)), _marks(x)))
 
 
+def _same(said: DataFrame, titles: DataFrame, few: bool) -> DataFrame:
+    """_q, _f (ord, paper_id): the first title in order of the very words of a quotation."""
+    hint = F.broadcast if few else lambda df: df
+    words = lambda x: F.array_join(F.array_sort(text.token_set(F.col(x))), " ")
+    a = said.select("_q", words("_qn").alias("_w")).where("_w <> ''")
+    b = titles.select(words("_tn").alias("_w"), F.struct("ord", "paper_id").alias("_f"))
+    first = b.join(hint(a.select("_w").distinct()), "_w", "left_semi").groupBy("_w").agg(F.min("_f").alias("_f"))
+    return a.join(first, "_w").select("_q", "_f")
+
+
 def _holding(said: DataFrame, titles: DataFrame, few: bool) -> DataFrame:
-    """_q, paper_id, ord, score 1: the first title in order that a quotation holds or that holds it."""
+    """_q, _f (ord, paper_id): the first title in order that a quotation holds or that holds it."""
     hint = F.broadcast if few else lambda df: df
     a, b = said.select("_q", "_qn"), titles.select("paper_id", "ord", "_tn")
     around = b.withColumn("_w", F.explode(_outer_keys(F.col("_tn")))).join(hint(a.withColumn("_w", F.explode(_inner_keys(F.col("_qn"))))), "_w").where(F.contains("_tn", "_qn"))
     within = b.withColumn("_w", F.explode(_inner_keys(F.col("_tn")))).join(hint(a.withColumn("_w", F.explode(_outer_keys(F.col("_qn"))))), "_w").where(F.contains("_qn", "_tn"))
     pairs = around.unionByName(within).where(F.arrays_overlap(_marks(F.col("_qn")), _marks(F.col("_tn"))))
-    first = pairs.groupBy("_q").agg(F.min(F.struct("ord", "paper_id")).alias("_f"))
-    return first.select("_q", "_f.paper_id", "_f.ord", F.lit(1.0).alias("score"))
+    return pairs.groupBy("_q").agg(F.min(F.struct("ord", "paper_id")).alias("_f"))
 
 
 def by_title(questions: DataFrame, papers: DataFrame, qkey: str, q: str) -> DataFrame:
     """qkey, place, paper_id, score: the best title for each quotation, of LEAST or more. papers: paper_id, title, ord.
 
-    Equal quotations and equal titles count once. Scores of common words are
-    summed block by block (``overlap``), each task passing on one title per
-    quotation; titles inside quotations and the other way round are joined on
-    three words in a row.
+    Equal quotations and equal titles count once. A score of 1 is found by
+    joins: titles of the same words on these, titles inside quotations and the
+    other way round on three words in a row. For the other quotations the
+    scores of common words are summed block by block (``overlap``), each task
+    passing on one title per quotation.
     """
     asked = questions.select(qkey, F.posexplode(text.quoted(F.col(q))).alias("place", "_q")).select(qkey, "place", text.normalized(F.col("_q")).alias("_qn"))
     said = cut(asked.where("_qn <> ''").select("_qn").distinct().withColumn("_q", F.monotonically_increasing_id()))
     n = said.count()
     titled = papers.where(F.coalesce("title", F.lit("")) != "").select(text.normalized(F.col("title")).alias("_tn"), F.struct("ord", "paper_id").alias("_f"))
     titles = cut(titled.where("_tn <> ''").groupBy("_tn").agg(F.min("_f").alias("_f")).select("_tn", "_f.*"))
-    words = said.withColumn("_s", text.token_set(F.col("_qn"))).select("_q", F.size("_s").alias("size"), F.explode("_s").alias("term"), F.lit(1.0).alias("w"))
-    order = F.coalesce(F.col("ord").cast("long"), F.lit(-(2**63)))
-    texts = spread(titles).select(order.alias("_k"), text.token_set(F.col("_tn")).alias("_t"), "paper_id", "ord")
-    some = overlap.best(texts, words, n, 1, least=LEAST).select("_q", "paper_id", "ord", "score")
-    scored = some.unionByName(_holding(said, titles, n <= overlap.HELD))
+    few = n <= overlap.HELD
+    full = _same(said, titles, few).unionByName(_holding(said, titles, few)).groupBy("_q").agg(F.min("_f").alias("_f"))
+    full = cut(full.select("_q", "_f.paper_id", "_f.ord", F.lit(1.0).alias("score")))
+    rest = cut(said.join(full, "_q", "left_anti"))
+    scored = full
+    if m := rest.count():
+        words = rest.withColumn("_s", text.token_set(F.col("_qn"))).select("_q", F.size("_s").alias("size"), F.explode("_s").alias("term"), F.lit(1.0).alias("w"))
+        order = F.coalesce(F.col("ord").cast("long"), F.lit(-(2**63)))
+        texts = spread(titles).select(order.alias("_k"), text.token_set(F.col("_tn")).alias("_t"), "paper_id", "ord")
+        scored = full.unionByName(overlap.best(texts, words, m, 1, least=LEAST).select("_q", "paper_id", "ord", "score"))
     w = Window.partitionBy("_q").orderBy(F.col("score").desc(), "ord")
     first = scored.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     return asked.join(said, "_qn").join(first, "_q").select(qkey, "place", "paper_id", "score")

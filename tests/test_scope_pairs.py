@@ -63,3 +63,38 @@ def test_no_row_per_pair(spark, name):
     assert len(df.collect()) == 90
     rows = list(_joined(df._jdf.queryExecution().executedPlan()))
     assert rows and max(rows) < 5000  # of 81,000 pairs
+
+
+def test_no_row_per_pair_kept(spark, monkeypatch):
+    """Nor do the joins whose results are written before the last plan."""
+    rows, plain = [], scope.cut
+
+    def cut(df):
+        df.collect()
+        rows.extend(_joined(df._jdf.queryExecution().executedPlan()))
+        return plain(df)
+
+    monkeypatch.setattr(scope, "cut", cut)
+    words = lambda i: " ".join(f"word{i * k % 997}" for k in range(2, 8))
+    papers = spark.createDataFrame([(i, f"cells growing {words(i)}", i) for i in range(900)], "paper_id long, title string, ord long")
+    questions = spark.createDataFrame([(i, f'"cells growing {words(i)}"') for i in range(0, 900, 10)], "qid long, q string")
+    assert scope.by_title(questions, papers, "qid", "q").count() == 90
+    assert len(rows) > 3 and max(rows) < 5000
+
+
+@pytest.mark.parametrize("name", ["scope_title", "scope_resolve"])
+def test_full_score_by_joins(spark, monkeypatch, name):
+    """Only quotations without a title of score 1 are compared with all titles; of those of score 1 the first in order counts."""
+    asked, plain = [], overlap.best
+    monkeypatch.setattr(overlap, "best", lambda texts, q, n, *a, **kw: asked.append(n) or plain(texts, q, n, *a, **kw))
+    titles = ["Slow growth of cells", "cells: growth, slow", "Fast decay of tissue", "On fast decay of tissue in mice", "Warm rivers and their banks"]
+    papers = spark.createDataFrame([(i, t, None, 9 - i) for i, t in enumerate(titles)], "paper_id long, title string, doi string, ord long")
+    said = ["Slow growth of cells", "Fast decay of tissue", "Warm rivers and other banks", "Nothing like any other"]
+    questions = spark.createDataFrame([(i, f'"{q}"') for i, q in enumerate(said)], "qid long, q string")
+    if name == "scope_title":
+        got = sorted((r.qid, r.paper_id, round(r.score, 3)) for r in scope.by_title(questions, papers, "qid", "q").collect())
+        assert got == [(0, 1, 1.0), (1, 3, 1.0), (2, 4, 0.75)]
+    else:
+        got = sorted((r.qid, r.forced, r.moderate) for r in scope.resolved(questions, papers, "qid", "q").collect())
+        assert got == [(0, [1], 0), (1, [3], 0), (2, [4], 1), (3, [], 0)]
+    assert asked == [2]
