@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -147,12 +148,19 @@ BITS = 9
 
 def signature(title: str) -> list[int]:
     """Which pairs of neighbouring letters stand in a title without its spaces, hashed to 128 bits in two numbers."""
-    t = title.replace(" ", "")
-    bits = 0
-    for i in {(ord(a) * 37 + ord(b)) & 127 for a, b in zip(t, t[1:])}:
-        bits |= 1 << i
-    low, high = bits & (1 << 64) - 1, bits >> 64
-    return [x - (x >> 63 << 64) for x in (low, high)]
+    return signatures([title])[0].tolist()
+
+
+def signatures(titles: list[str]) -> np.ndarray:
+    """``signature`` of each title, one row each. Titles are words of a to z and 0 to 9."""
+    plain = [t.replace(" ", "") for t in titles]
+    lens = np.array([len(t) for t in plain], dtype="int64")
+    letters = np.frombuffer("".join(plain).encode("ascii"), dtype="uint8").astype("int64")
+    row = np.repeat(np.arange(len(plain)), lens)
+    within = row[:-1] == row[1:]
+    bits = np.zeros((len(plain), 128), dtype="uint8")
+    bits[row[:-1][within], ((letters[:-1] * 37 + letters[1:]) & 127)[within]] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 
 def forms(
@@ -184,7 +192,7 @@ def forms(
                     pa.array(dois, pa.string()),
                     b.column(5),
                     pa.array([keys_of(t[0], t[2], p, d) for t, p, d in zip(titles, who, dois)], pa.list_(pa.int64())),
-                    pa.array([signature(t[0]) for t in titles], pa.list_(pa.int64())),
+                    pa.array(list(signatures([t[0] for t in titles])), pa.list_(pa.int64())),
                 ],
                 [x.split()[0] for x in FORM.split(", ")],
             )
@@ -261,14 +269,18 @@ def title_match(a: str, b: str, cut_a: bool, cut_b: bool) -> str:
     # each difference takes a word of the longer rest, and neither ``near`` nor ``word`` allows more than three
     if not (cut_a or cut_b) and max(len(rx), len(ry)) - (Counter(rx) & Counter(ry)).total() > 3:
         return "other"
-    minor, major = _align(rx, ry)
+    apart = _unlike(rx, ry) > 1  # two major differences at least
+    if apart and not (cut_a or cut_b):
+        return "other"
+    minor, major = (0, 2) if apart else _align(rx, ry)
     if major == 0 and minor <= 3:
         return "near"
     if cut_a or cut_b:  # one text ends early: the rest of the other is no difference
         n = min(len(sa), len(sb))
         shorter, longer = (x, y) if len(sa) <= len(sb) else (y, x)
-        m, k = _align(shorter[:-1], longer[: len(shorter) - 1])
-        if n >= 18 and k == 0 and m <= 2:
+        begun = shorter[:-1], longer[: len(shorter) - 1]
+        m, k = _align(*begun) if n >= 18 and not _unlike(*begun) else (0, 1)
+        if k == 0 and m <= 2:
             return "part"
     return "word" if major == 1 and minor <= 1 else "other"
 
@@ -278,28 +290,66 @@ def _typo(a: str, b: str) -> bool:
     return N.near(a, b) and not any(x != y and x.isdigit() and y.isdigit() for x, y in zip(a, b) if len(a) == len(b))
 
 
+def _stands(a: str, b: str) -> bool:
+    """Whether one word in the other's place is no major difference."""
+    return a == b or _typo(a, b) or (a in STOP and b in STOP)
+
+
+def _unlike(x: list[str], y: list[str]) -> int:
+    """Major differences that any alignment of two word lists has at least.
+
+    A word for which none of the other list can stand is missing there or in
+    another's place. Each of the latter is major, and so is each word missing
+    in one list together with one missing in the other.
+    """
+
+    def alone(p: list[str], q: list[str]) -> int:
+        rest = set(q)
+        return sum(1 for w in p if w not in rest and not any(_stands(w, v) for v in rest))
+
+    n = alone(x, y)
+    return n and min(n, alone(y, x))
+
+
 def _align(x: list[str], y: list[str]) -> tuple[int, int]:
     """(minor, major) differences of two word lists, the least of all alignments.
 
     Typing errors and words missing on one side only are minor; a word in
     another's place is major, and so is a missing number or code.
     """
+    code = [any(c.isdigit() for c in b) for b in y]
     rows = [(0, 0, j, 0) for j in range(len(y) + 1)]  # typing errors, missing in y, missing in x, major
-
-    def cost(v):
-        return v[0] + v[1] + v[2] + 1.5 * min(v[1], v[2]) + 3.5 * v[3]
-
-    def step(v, d):
-        return tuple(p + q for p, q in zip(v, d))
-
     for i, a in enumerate(x, 1):
-        new = [(0, i, 0, 0)]
-        for j, b in enumerate(y, 1):
-            swap = (0, 0, 0, 0) if a == b else (1, 0, 0, 0) if _typo(a, b) or (a in STOP and b in STOP) else (0, 0, 0, 1)
-            code_a, code_b = any(c.isdigit() for c in a), any(c.isdigit() for c in b)
-            no_a = (0, 0, 0, 1) if code_a else (0, 1, 0, 0)
-            no_b = (0, 0, 0, 1) if code_b else (0, 0, 1, 0)
-            new.append(min((step(rows[j - 1], swap), step(rows[j], no_a), step(new[j - 1], no_b)), key=cost))
+        code_a = any(c.isdigit() for c in a)
+        diagonal, left = rows[0], (0, i, 0, 0)
+        new = [left]
+        for j, b in enumerate(y):
+            above = rows[j + 1]
+            t, p, q, m = diagonal
+            if a != b:
+                if _stands(a, b):
+                    t += 1
+                else:
+                    m += 1
+            cost = t + p + q + 1.5 * (p if p < q else q) + 3.5 * m
+            t1, p1, q1, m1 = above
+            if code_a:
+                m1 += 1
+            else:
+                p1 += 1
+            c = t1 + p1 + q1 + 1.5 * (p1 if p1 < q1 else q1) + 3.5 * m1
+            if c < cost:
+                cost, t, p, q, m = c, t1, p1, q1, m1
+            t1, p1, q1, m1 = left
+            if code[j]:
+                m1 += 1
+            else:
+                q1 += 1
+            if t1 + p1 + q1 + 1.5 * (p1 if p1 < q1 else q1) + 3.5 * m1 < cost:
+                t, p, q, m = t1, p1, q1, m1
+            left = (t, p, q, m)
+            new.append(left)
+            diagonal = above
         rows = new
     typos, in_x, in_y, major = rows[-1]
     both = min(in_x, in_y)

@@ -242,6 +242,8 @@ def whole(text: list[str], reach: int, value: str) -> bool:
 
 def survivor(values: list[tuple[str, float, int]]) -> int | None:
     """Index of the value closest to the consensus that is whole; of equally close ones the more frequent, then the smaller number."""
+    if len(values) == 1:  # it is the consensus
+        return None if damaged(values[0][0]) else 0
     text, reach = vote(values)
     order = sorted(range(len(values)), key=lambda i: (-round(closeness(text, values[i][0]), 6), -values[i][1], values[i][2]))
     return next((i for i in order if whole(text, reach, values[i][0])), None)

@@ -174,6 +174,37 @@ def test_match_equals_alignment(x, data):
     assert got in ("same", "part", "none") or got == want
 
 
+WORDS = st.lists(st.sampled_from("arid soil soils sotl moss mosses the of crust crusts 12 13 lake b2".split()), max_size=7)
+
+
+@given(WORDS, WORDS)
+@settings(max_examples=400, deadline=None)
+def test_unlike_words_bound_the_alignment(x, y):
+    assert records._unlike(x, y) <= records._align(x, y)[1]
+
+
+def test_unlike_titles_are_not_aligned(monkeypatch):
+    monkeypatch.setattr(records, "_align", lambda *_: pytest.fail("aligned"))
+    a = "how arid biofilm buffers viscosity in cells across northern lakes"
+    assert records.title_match(a, a.replace("arid", "saline").replace("cells", "rocks"), False, False) == "other"
+    assert records.title_match(a, "how saline biofilm buffers viscosity in rocks across nort", False, True) == "other"
+
+
+@given(st.lists(st.text("ab z09", max_size=30), max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_signatures_of_many(titles):
+    for t, got in zip(titles, records.signatures(titles).tolist(), strict=True):
+        u = t.replace(" ", "")
+        bits = {(ord(a) * 37 + ord(b)) & 127 for a, b in zip(u, u[1:])}
+        assert {i for i in range(128) if got[i // 64] >> i % 64 & 1} == bits
+
+
+def test_a_value_alone_is_its_own_consensus():
+    for text in ("We found moss on dry soil.", "We found moss on dry", "Skip to main content. We found moss.", "<p></p>", "moss moss moss."):
+        words, reach = survivors.vote([(text, 2.0, 7)])
+        assert (survivors.survivor([(text, 2.0, 7)]) == 0) is survivors.whole(words, reach, text)
+
+
 def test_fields():
     assert records.read_doi("https://doi.example.org/10.1234%2FAB.5v2.") == "10.1234/ab.5" and records.read_doi("10.") is None and records.read_doi(None) is None
     assert [records.read_year(x) for x in ("c2017", "07/2014", "'22", "in press", None, "March 1999")] == [2017, 2014, 2022, None, None, 1999]
